@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, token_counts, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, piece_sampling, quality, token_counts, toxicity
 
-MODULES = (token_counts, language_id, toxicity)
+MODULES = (token_counts, language_id, piece_sampling, exact_dedup, decontamination, quality, line_dedup, toxicity)
 
 
 def queries() -> dict:
