@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of an Arrow batch by bytes and rows, since texts may be long."""
+    """Bounds the memory of an Arrow batch by bytes and rows, since texts may be long; and lets Python workers on the
+    driver's machine import this package when it isn't installed (a cluster ships or installs it)."""
+    own = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if own not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (own, *known) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
