@@ -115,17 +115,22 @@ class Matcher:
         return sorted(out, key=lambda x: x["item_id"])
 
 
-def benchmark_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
-    """One row per row of ``df``: id and ``matches``, an array of (item_id, edits)."""
-    spark = df.sparkSession
-    small_batches(spark)
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of BLOCK_CHARS characters as expected."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-max(chars, 1) // BLOCK_CHARS)
+    for block in range(blocks):
+        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator()]
+
+
+def benchmark_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
+    """One row per row of ``df``: id and ``matches``, an array of (item_id, edits)."""
+    spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr("cast(array() as array<struct<item_id:bigint,edits:int>>)").alias("matches"))
-    for block in range(blocks):
-        own = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator()]
+    for own in _blocks(benchmark, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -138,6 +143,22 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return out.select(F.col("id").alias(id_col), "matches")
 
 
+def drop_matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
+    """The rows of ``df`` that match no item, with its own columns; no shuffle."""
+    out = df
+    for matcher_items in _blocks(benchmark, "item_id", "text"):
+        sent = df.sparkSession.sparkContext.broadcast(matcher_items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, percent)
+            for batch in batches:
+                at = batch.schema.get_field_index(text_col)
+                yield batch.filter(pa.array([not matcher.find(folded(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, df.schema)
+    return out
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.col("matches.item_id").alias("item_ids"), F.col("matches.edits").alias("edits"))

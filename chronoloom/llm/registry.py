@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, piece_sampling, quality, token_counts, toxicity
+from . import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, piece_sampling, quality, suffix_dedup, token_counts, toxicity
 
-MODULES = (token_counts, language_id, piece_sampling, exact_dedup, decontamination, quality, jaccard_join, line_dedup, toxicity)
+MODULES = (token_counts, language_id, piece_sampling, exact_dedup, decontamination, quality, jaccard_join, suffix_dedup, line_dedup, toxicity)
 
 
 def queries() -> dict:

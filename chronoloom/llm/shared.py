@@ -29,15 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it. Lost executors lose nothing of it."""
+_WORK: list[str] = []
+
+
+def write_shared(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it. Lost executors lose nothing of it.
+    The table goes at the end of the program or, unless ``keep``, with ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    if not keep:
+        _WORK.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the work tables so far. For callers who have written every result that still reads them."""
+    while _WORK:
+        _remove(spark, _WORK.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
