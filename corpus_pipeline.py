@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronoloom.llm import decontamination, jaccard_join, line_dedup, piece_sampling, quality
 from chronoloom.llm.shared import release, write_shared
@@ -55,4 +54,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = write_shared(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", keep=True)
-    return docs.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces")
+    return docs
