@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from . import relational
+
+MODULES = (relational,)
+FLAGSHIP = "wn01_latest_per_key"
 
 
 def queries() -> dict:
