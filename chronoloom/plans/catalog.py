@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, statistics
 
-MODULES = (relational,)
+MODULES = (relational, statistics)
 FLAGSHIP = "wn01_latest_per_key"
 
 
