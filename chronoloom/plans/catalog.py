@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, statistics
+from . import relational, series, statistics
 
-MODULES = (relational, statistics)
+MODULES = (relational, statistics, series)
 FLAGSHIP = "wn01_latest_per_key"
 
 
