@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, series, statistics
+from . import relational, series, statistics, texts
 
-MODULES = (relational, statistics, series)
+MODULES = (relational, statistics, series, texts)
 FLAGSHIP = "wn01_latest_per_key"
 
 
