@@ -201,6 +201,52 @@ def diagonal_em(x: np.ndarray, start: np.ndarray, rounds: int = 250, stop: float
     return weight, mean, var, now
 
 
+def mixture(df: DataFrame, vector: str, start: list[list[float]], rounds: int = 250, stop: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """MD-18 over a whole table: the same EM with one scan a round, whose partitions send k rows of sums. Weights, means,
+    variances, log-likelihood and number of rows."""
+    mean = np.array(start, float)
+    k, width = mean.shape
+    weight, var, floor, before, now, n = np.full(k, 1 / k), None, None, -np.inf, -np.inf, 0
+    for _ in range(rounds + 1):
+        sent = df.sparkSession.sparkContext.broadcast((weight, mean, var))
+
+        def sums(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            w, m, v = sent.value
+            r0, r1, r2, score, rows = np.zeros(k), np.zeros((k, width)), np.zeros((k, width)), 0.0, 0
+            for frame in frames:
+                if len(frame):
+                    x = np.stack(frame[vector].to_numpy()).astype(float)
+                    if v is None:  # the first scan has the overall moments
+                        r = np.full((len(x), k), 1 / k)
+                    else:
+                        log = np.log(w)[None] - 0.5 * (np.log(2 * np.pi * v)[None] + (x[:, None] - m[None]) ** 2 / v[None]).sum(2)
+                        top = log.max(1, keepdims=True)
+                        each = np.exp(log - top)
+                        total = each.sum(1, keepdims=True)
+                        score += float((np.log(total) + top).sum())
+                        r = each / total
+                    r0, r1, r2, rows = r0 + r.sum(0), r1 + r.T @ x, r2 + r.T @ (x * x), rows + len(x)
+            yield pd.DataFrame({"k": range(k), "r0": r0, "score": score, "rows": rows, "r1": list(r1), "r2": list(r2)})
+
+        parts = df.select(vector).mapInPandas(sums, "k int, r0 double, score double, rows long, r1 array<double>, r2 array<double>")
+        wide = [F.sum(F.get(c, F.lit(i))).alias(f"{c}_{i}") for c in ("r1", "r2") for i in range(width)]
+        got = parts.groupBy("k").agg(F.sum("r0").alias("r0"), F.sum("score").alias("score"), F.sum("rows").alias("rows"), *wide).orderBy("k").collect()
+        r0 = np.array([r["r0"] for r in got]) + 1e-12
+        r1, r2 = (np.array([[r[f"{c}_{i}"] for i in range(width)] for r in got]) for c in ("r1", "r2"))
+        n = got[0]["rows"]
+        if var is None:
+            overall = np.maximum(r2.sum(0) / n - (r1.sum(0) / n) ** 2, 1e-12)
+            floor, var = np.maximum(0.01 * overall, 1e-12), np.tile(overall, (k, 1))
+            continue
+        now = got[0]["score"]
+        weight, mean = r0 / r0.sum(), r1 / r0[:, None]
+        var = np.maximum(r2 / r0[:, None] - mean * mean, floor)
+        if abs(now - before) < stop * abs(now):
+            break
+        before = now
+    return weight, mean, var, now, n
+
+
 def bic(loglikelihood: float, n: int, components: int, dimensions: int) -> float:
     """MD-19."""
     return -2 * loglikelihood + (components * (2 * dimensions + 1) - 1) * np.log(n)

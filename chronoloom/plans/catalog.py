@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, series, statistics, texts
+from . import modelling, relational, series, statistics, texts
 
-MODULES = (relational, statistics, series, texts)
+MODULES = (relational, statistics, series, texts, modelling)
 FLAGSHIP = "wn01_latest_per_key"
 
 

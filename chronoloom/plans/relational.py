@@ -16,13 +16,13 @@ SELECT l_suppkey, supplier_name, nation_name, l_orderkey, l_linenumber, shipped,
  SELECT l.l_suppkey, coalesce(s.s_name, CAST(l.l_suppkey AS VARCHAR)) AS supplier_name, coalesce(n.n_name, '') AS nation_name, l.l_orderkey, l.l_linenumber,
   epoch_us(l.l_shipdate) // 1000000 AS shipped, round(l.l_extendedprice * (1 - l.l_discount), 4) AS age_rank_value,
   row_number() OVER (PARTITION BY l.l_suppkey ORDER BY l.l_shipdate DESC, l.l_orderkey, l.l_linenumber) AS rn
- FROM lineitem l LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_suppkey % 7 <> 3 LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+ FROM lineitem l LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_acctbal > 500 LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
  WHERE l.l_quantity > 0) WHERE rn = 1""")
 def wn01_latest_per_key(spark, d):
     """WN-01, JN-05, PF-02, PF-08, SO-01, SC-01: latest observation of each device, its name or else its id."""
     rows = table(spark, d, "lineitem").where("l_quantity > 0").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_discount")
     last = R.latest_per_key(rows, ["l_suppkey"], F.col("l_shipdate").desc(), F.col("l_orderkey"), F.col("l_linenumber"))
-    known = table(spark, d, "supplier").where("s_suppkey % 7 <> 3").select("s_suppkey", "s_name", "s_nationkey")
+    known = table(spark, d, "supplier").where("s_acctbal > 500").select("s_suppkey", "s_name", "s_nationkey")
     out = last.join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return out.select("l_suppkey", F.coalesce("s_name", F.col("l_suppkey").cast("string")).alias("supplier_name"), F.coalesce("n_name", F.lit("")).alias("nation_name"), "l_orderkey", "l_linenumber", epoch("l_shipdate").alias("shipped"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("age_rank_value")).orderBy("l_suppkey")
 
@@ -84,11 +84,11 @@ def jn04_first_match(spark, d):
 
 @query("jn05_lookup_or_id", """
 SELECT e.event_id, coalesce(c.c_name || '@' || c.c_mktsegment || ' ( ' || CAST(c.c_nationkey AS VARCHAR) || ' )', CAST(e.user_id AS VARCHAR)) AS host
-FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 5 <> 0""")
+FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_acctbal > 0""")
 def jn05_lookup_or_id(spark, d):
     """JN-05, PF-07, PF-08: composed name by key, else the raw id."""
     name = F.concat("c_name", F.lit("@"), "c_mktsegment", F.lit(" ( "), F.col("c_nationkey").cast("string"), F.lit(" )"))
-    return R.lookup_or_id(table(spark, d, "events").select("event_id", "user_id"), table(spark, d, "customer").where("c_custkey % 5 <> 0"), "user_id", "c_custkey", name, "host").select("event_id", "host")
+    return R.lookup_or_id(table(spark, d, "events").select("event_id", "user_id"), table(spark, d, "customer").where("c_acctbal > 0"), "user_id", "c_custkey", name, "host").select("event_id", "host")
 
 
 @query("jn06_rows_of_hosts", """
@@ -338,11 +338,11 @@ def dm01_acknowledge(spark, d):
 
 
 @query("dm04_conditional_reset", """
-SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE o_custkey END AS interpolated_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)""")
+SELECT o_orderkey, CASE WHEN o_custkey < 50 THEN 0 ELSE o_custkey END AS interpolated_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)""")
 def dm04_conditional_reset(spark, d):
     """DM-04, MD-05: some rows are deleted, others lose a reference (0)."""
     left = R.delete_matching(table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
-    return R.update_where(left, F.col("o_custkey") % 4 == 0, o_custkey=F.lit(0)).select("o_orderkey", F.col("o_custkey").alias("interpolated_id"))
+    return R.update_where(left, F.col("o_custkey") < 50, o_custkey=F.lit(0)).select("o_orderkey", F.col("o_custkey").alias("interpolated_id"))
 
 
 @query("dm05_queue_state", """
