@@ -5,7 +5,7 @@ FTRL-proximal has a learning rate for each coordinate and an L1 term that keeps
 the executors is a short list of (bucket, weight).
 
 Defined cases: a null text is empty; an empty text gets the score of the bias; a document with several labels is toxic
-if one says so; null labels teach nothing; without labels the score is 0.5 less a hair's breadth (predicted 0). Other
+if one says so; null labels teach nothing; without labels every score is just below 0.5 (predicted 0). Other
 columns are not read. Texts are read whole.
 """
 
@@ -89,7 +89,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
             model.learn(np.append(np.frombuffer(packed, "<u4").astype(np.int64), 1 << BITS), y)
     w = model.weights(slice(None))
     kept = np.flatnonzero(w[:-1])
-    return kept, w[kept], float(w[-1])
+    return kept, w[kept], float(w[-1]) if rows else -1e-6
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
