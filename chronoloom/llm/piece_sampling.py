@@ -30,16 +30,13 @@ from .shared import mix, small_batches, steps
 
 SPACE = "▁"
 RANK_OFFSET, BYTE_WEIGHT = 10.0, 1e-6
-#: Prefixes of words whose lattice a worker keeps; beyond, it starts anew (results are the same).
-KEPT_STATES = 500_000
 #: A longer run is cut here, so that no product of weights leaves the range of a double.
 LONGEST_WORD = 44
 _WORDS = re.compile(f"{SPACE}?[^{SPACE}\n]+|\n|{SPACE}+(?={SPACE}[^{SPACE}\n])|{SPACE}+")
 
 
 class Lattice:
-    """States are prefixes of words. A state's incoming pieces are in ``shares``: state number + share of the forward
-    weight up to and with that piece, so one binary search draws for any state."""
+    """The model's pieces by their characters from the end, as a sorted table: node << 21 | character -> node."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -52,61 +49,76 @@ class Lattice:
             raise ValueError(f"the model has no byte pieces: {path}")
         byte_ids = set(self.byte)
         normal = [i for i in range(size) if i not in byte_ids and not self.model.is_control(i) and not self.model.is_unknown(i)]
-        self.weight = {self.piece_text[i]: (i, 1 / (max(0.0, -self.model.get_score(i)) + RANK_OFFSET)) for i in normal}
-        self.longest = max(map(len, self.weight))
-        self._empty()
-
-    def _empty(self) -> None:
-        self.state: dict[str, int] = {"": 0}
-        self.forward = [1.0]
-        #: flattened incoming pieces: shares, piece ids (below 0: one character in bytes) and the state before.
-        self.shares: list[float] = []
-        self.piece: list[int] = []
-        self.before: list[int] = []
-        self.lone: list[str] = []
-
-    def word(self, word: str) -> int:
-        """The number of the state at the end of a word."""
-        found = self.state.get(word)
-        if found is not None:
-            return found
-        state, weight, forward, at = self.state, self.weight, self.forward, [0]
-        for n in range(1, len(word) + 1):
-            key = word[:n]
-            own = state.get(key)
-            if own is None:
-                own, total, came = len(forward), 0.0, []
-                for size in range(1, min(n, self.longest) + 1):
-                    part = word[n - size : n]
-                    known = weight.get(part)
-                    if known and (part[0] == SPACE or SPACE not in part):
-                        total += forward[at[n - size]] * known[1]
-                        came.append((total, known[0], at[n - size]))
-                c = word[n - 1]
-                if c not in weight:
-                    total += forward[at[n - 1]] * BYTE_WEIGHT
-                    came.append((total, -1 - len(self.lone), at[n - 1]))
-                    self.lone.append(c)
-                forward.append(total)
-                for share, piece, before in came:
-                    self.shares.append(own + share / total)
-                    self.piece.append(piece)
-                    self.before.append(before)
-                self.shares[-1] = own + 1.0
-                state[key] = own
-            at.append(own)
-        return at[-1]
+        back: dict[int, int] = {}
+        piece_of_node, weight = [-1], np.zeros(size)
+        for i in normal:
+            node = 0
+            for c in reversed(self.piece_text[i]):
+                key = node << 21 | ord(c)
+                node = back.get(key, 0)
+                if not node:
+                    node = back[key] = len(piece_of_node)
+                    piece_of_node.append(-1)
+            piece_of_node[node] = i
+            weight[i] = 1 / (max(0.0, -self.model.get_score(i)) + RANK_OFFSET)
+        self.keys = np.array(sorted(back), np.int64)
+        self.next = np.array([back[k] for k in self.keys.tolist()], np.int64)
+        self.piece_of_node, self.weight = np.array(piece_of_node), weight
+        self.single = np.array(sorted(ord(self.piece_text[i]) for i in normal if len(self.piece_text[i]) == 1))
+        self.longest = max(len(self.piece_text[i]) for i in normal)
+
+    def forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward filtering of all words at once, a character at a time. Of the states (prefixes) in order: keys of the
+        incoming pieces (state << 32 | share of the forward weight up to and with that piece, in 2^-31), the pieces
+        (below 0: the character in bytes) and the states before (-1: the word's start); and each word's last state.
+        Shares are whole numbers that don't depend on the other words, so draws don't either."""
+        size = np.array([len(w) for w in words], np.int64)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        low = np.cumsum(size) - size  # state of a word's first n characters: low + n - 1
+        weights = np.zeros(len(code))
+        parts: list[tuple] = []
+        for n in range(1, int(size.max(initial=0)) + 1):
+            row = np.flatnonzero(size >= n)
+            own, total, live, node = low[row] + n - 1, np.zeros(len(row)), np.arange(len(row)), np.zeros(len(row), np.int64)
+            for k in range(1, min(n, self.longest) + 1):
+                key = node << 21 | code[own[live] - k + 1]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                live, node = live[hit], self.next[at[hit]]
+                if not len(live):
+                    break
+                piece = self.piece_of_node[node]
+                ends = piece >= 0
+                if ends.any():
+                    who, what = live[ends], piece[ends]
+                    before = own[who] - k
+                    total[who] += (weights[before] if k < n else 1.0) * self.weight[what]
+                    parts.append((own[who], total[who].copy(), what, before if k < n else np.full(len(who), -1)))
+            letter = code[own]
+            place = np.minimum(np.searchsorted(self.single, letter), len(self.single) - 1)
+            who = np.flatnonzero(self.single[place] != letter)
+            if len(who):
+                before = own[who] - 1
+                total[who] += (weights[before] if n > 1 else 1.0) * BYTE_WEIGHT
+                parts.append((own[who], total[who].copy(), -1 - letter[who], before if n > 1 else np.full(len(who), -1)))
+            weights[own] = total
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return none, none, none, low
+        state, partial, piece, before = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(state, kind="stable")
+        state, piece, before = state[order], piece[order], before[order]
+        share = np.floor(partial[order] / weights[state] * (1 << 31)).astype(np.int64)
+        share[np.append(state[1:] != state[:-1], True)] = 1 << 31
+        return state << 32 | share, piece, before, low + size - 1
 
 
 def words_of(text: str) -> list[str]:
     """Words of at most LONGEST_WORD characters."""
-    out = []
-    for word in _WORDS.findall(text):
-        if len(word) <= LONGEST_WORD:
-            out.append(word)
-        else:
-            out += [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
-    return out
+    found = _WORDS.findall(text)
+    if max(map(len, found), default=0) <= LONGEST_WORD:
+        return found
+    return [word[i : i + LONGEST_WORD] for word in found for i in range(0, len(word), LONGEST_WORD)]
 
 
 #: Stands for a U+2581 of the text while spaces are written with that symbol; a lone surrogate, which no text has.
@@ -117,42 +129,36 @@ class Sampler:
     def __init__(self, path: str):
         self.lattice = Lattice(path)
 
-    def encode(self, keys: list[int], texts: list[str | None]) -> list[np.ndarray | None]:
+    def encode(self, row_keys: list[int], texts: list[str | None]) -> list[np.ndarray | None]:
         """Piece ids of each text."""
-        lattice = self.lattice
-        if len(lattice.state) > KEPT_STATES or len(lattice.piece) > 8 * KEPT_STATES:
-            lattice._empty()
-        ends, counts, get = [], [], lattice.state.get
+        number: dict[str, int] = {}
+        found, counts = [], []
         for text in texts:
-            if text is None:
-                counts.append(0)
-                continue
-            marked = SPACE + text.replace(SPACE, _OWN_MARK).replace(" ", SPACE)
-            words = words_of(marked)
-            ends += [get(w) or lattice.word(w) for w in words]
+            words = [] if text is None else words_of(SPACE + text.replace(SPACE, _OWN_MARK).replace(" ", SPACE))
+            found += [number.setdefault(w, len(number)) for w in words]
             counts.append(len(words))
-        state = np.array(ends, np.int64)
-        shares, piece, before = np.array(lattice.shares), np.array(lattice.piece, np.int64), np.array(lattice.before, np.int64)
+        keys, piece, before, last = self.lattice.forward(list(number))
+        state = last[np.array(found, np.int64)] if found else np.zeros(0, np.int64)
         count = np.array(counts, np.int64)
-        seed = mix(np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        seed = mix(np.array([(k or 0) & (2**64 - 1) for k in row_keys], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
         place = np.arange(len(state)) - np.repeat(np.cumsum(count) - count, count)
         seed = mix(np.repeat(seed, count) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         live, order, drawn = np.arange(len(state)), [], []
         step = 0
         while len(live):
             step += 1
-            u = (mix(seed[live] + np.uint64(step * 0xD1342543DE82EF95 & (2**64 - 1))) >> np.uint64(12)).astype(np.float64) / float(1 << 52)
-            at = np.searchsorted(shares, state[live] + u, "right")
+            u = (mix(seed[live] + np.uint64(step * 0xD1342543DE82EF95 & (2**64 - 1))) >> np.uint64(33)).astype(np.int64)
+            at = np.searchsorted(keys, state[live] << 32 | u, "right")
             drawn.append(piece[at])
             order.append(live)
             state[live] = before[at]
-            live = live[state[live] > 0]
+            live = live[state[live] >= 0]
         if not order:
             return [None if t is None else np.zeros(0, np.int32) for t in texts]
         word, ids = np.concatenate(order), np.concatenate(drawn)
         turn = np.concatenate([np.full(len(x), -i) for i, x in enumerate(order)])
         ids = ids[np.lexsort((turn, word))]
-        sizes = np.bincount(word, minlength=len(ends))
+        sizes = np.bincount(word, minlength=len(found))
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]
         return [None if t is None else self._spelt(ids[a:b]) for t, a, b in zip(texts, bounds[:-1], bounds[1:])]
 
@@ -163,7 +169,7 @@ class Sampler:
             return ids.astype(np.int32)
         out, low = [], 0
         for i in odd.tolist():
-            c = self.lattice.lone[-1 - ids[i]]
+            c = chr(-1 - int(ids[i]))
             out += [ids[low:i], np.array([self.lattice.byte[b] for b in (SPACE if c == _OWN_MARK else c).encode()], np.int64)]
             low = i + 1
         return np.concatenate([*out, ids[low:]]).astype(np.int32)
@@ -204,7 +210,7 @@ def _mapped(df: DataFrame, path: str, id_col: str, text_col: str, schema: str, c
         for batch in batches:
             texts, keys = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             sizes = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
-            for low, high in steps(sizes, 1 << 19):
+            for low, high in steps(sizes, 1 << 21):
                 found = own.encode(keys[low:high], texts[low:high])
                 arrays, names = columns(own, texts[low:high], found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *arrays], [id_col, *names])
