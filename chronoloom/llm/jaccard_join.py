@@ -4,8 +4,9 @@ Two documents link when 100 * |intersection| >= percent * |union| of their sets
 sets are one class; only classes are compared.
 
 A class that can link with another shares at least T of its n shingles with it, T = ceil(percent * n / 100), so by
-DivideSkip's division T - 1 of its inverted lists may be set aside as long ones: only the n - T + 1 shortest lists (by a
-frequency sketch of fixed size, one order for all) are written and merged, over the cluster, into candidates. A
+DivideSkip's division T - 1 of its inverted lists may be set aside as long ones: only the n - T + 1 shortest lists are
+written and merged, over the cluster, into candidates. How long a list is, is judged by the rarest word of its shingle,
+from a sketch of word counts over all documents that has a fixed size; it gives one order for all. A
 candidate's overlap is then decided by ``DivideSkip.search`` in the task that has both sides: it merges the shorter lists
 of the members present and probes the long ones by binary search.
 
@@ -15,7 +16,7 @@ classes outside the list's main component are compared with the classes of other
 more than FEW_PAIRS pairs a posting, further rounds with other leaders come first. Each link between different texts is
 thus found or is between classes that are connected already; there is no cap on partners or candidates.
 
-What is broadcast has a fixed size: the sketch (2^SKETCH_BITS bytes) and filters of 2^FILTER_BITS bits.
+What is broadcast has a fixed size: the sketch (2^SKETCH_BITS bytes) and a filter of 2^FILTER_BITS bits.
 
 Defined cases: a null or empty text, and one without words, has an empty set, links with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one shingle; rows that repeat an id are reported
@@ -94,6 +95,23 @@ def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from shingles(*word_hashes(data[at[0] : at[-1]], at - at[0]), words)
 
 
+def _levelled_sets(column: pa.Array, words: int, level: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sets and the level of each shingle's rarest word."""
+    data, offsets = text_view(column)
+    for low, high in steps(offsets):
+        at = offsets[low : high + 1]
+        hashes, counts = word_hashes(data[at[0] : at[-1]], at - at[0])
+        own = level[hashes >> np.uint64(64 - SKETCH_BITS)]
+        least = own.copy()
+        for i in range(1, words):
+            if len(own) > i:
+                least[:-i] = np.minimum(least[:-i], own[i:])
+        begin = 0
+        for s, first, n in zip(*shingles(hashes, counts, words, places=True), counts.tolist()):
+            yield s, least[begin + first] if n >= words else np.full(len(s), own[begin : begin + n].min(initial=255), np.uint8)
+            begin += n
+
+
 def _class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
     """Two 64-bit hashes of a set, as signed numbers."""
     a = mix(s + np.uint64(2 * seed + 1)).sum(dtype=np.uint64)
@@ -110,19 +128,17 @@ def _profiles(docs: DataFrame, words: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, id_type = np.zeros(1 << SKETCH_BITS, np.uint32), None
         for batch in batches:
-            n, first, second, id_type, held, weight = [], [], [], batch.column(0).type, [], 0
-            for s in _sets(batch.column(1), words):
-                one, two = _class_of(s, seed) if len(s) else (None, None)
-                n.append(len(s))
-                first.append(one)
-                second.append(two)
-                held.append(s)
-                weight += len(s)
-                if weight > 1 << 19:
-                    sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                    held, weight = [], 0
-            if held:
-                sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            n, first, second, id_type = [], [], [], batch.column(0).type
+            data, offsets = text_view(batch.column(1))
+            for low, high in steps(offsets):
+                at = offsets[low : high + 1]
+                hashes, counts = word_hashes(data[at[0] : at[-1]], at - at[0])
+                sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                for s in shingles(hashes, counts, words):
+                    one, two = _class_of(s, seed) if len(s) else (None, None)
+                    n.append(len(s))
+                    first.append(one)
+                    second.append(two)
             rows = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if id_type is not None:
@@ -148,22 +164,16 @@ def _frequency_order(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(docs: DataFrame, words: int, percent: int, seed: int, levels, bits) -> DataFrame:
-    """(token, cid, n) of the lists that aren't set aside; with ``bits`` only of tokens in that filter."""
+def _postings(docs: DataFrame, words: int, percent: int, seed: int, levels) -> DataFrame:
+    """(token, cid, n) of the lists that aren't set aside."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, wanted = levels.value, bits.value if bits else None
         for batch in batches:
             tokens, cids, sizes = [], [], []
-            for s in _sets(batch.column(1), words):
+            for s, level in _levelled_sets(batch.column(1), words, levels.value):
                 n = len(s)
-                if not n:
-                    continue
-                order = np.argsort((level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
-                kept = s[order[: n + percent * n // -100 + 1]]
-                if wanted is not None:
-                    place = kept & np.uint64((1 << FILTER_BITS) - 1)
-                    kept = kept[(wanted[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
-                if len(kept):
+                if n:
+                    order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
+                    kept = s[order[: n + percent * n // -100 + 1]]
                     tokens.append(kept.view(np.int64))
                     cids.append(np.full(len(kept), _class_of(s, seed)[0], np.int64))
                     sizes.append(np.full(len(kept), n, np.int64))
@@ -173,9 +183,9 @@ def _postings(docs: DataFrame, words: int, percent: int, seed: int, levels, bits
     return docs.select("id", "text").mapInArrow(run, "token long, cid long, n long")
 
 
-def _filter_words(keys: DataFrame, key: str) -> DataFrame:
-    """A filter of 2^FILTER_BITS bits as 64-bit words: at most 2^(FILTER_BITS - 6) rows, whatever the input."""
-    place = keys.select(F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("place"))
+def _filter_words(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A filter of 2^bits bits as 64-bit words: at most 2^(bits - 6) rows, whatever the input."""
+    place = keys.select(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("place"))
     return place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
 
 
@@ -183,12 +193,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of ``edges`` (a, b): comp is the smallest node that can be reached. Large-star and
     small-star rounds, each a table in the shared folder."""
     now = write_shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if state == before:
+        heads = now.select(F.col("v").alias("u")).distinct()
+        apart = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        if apart and now.join(heads, "u", "left_semi").isEmpty():  # stars: each node has one head, which has none
             break
-        before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = write_shared(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
         now = write_shared(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
@@ -237,13 +246,10 @@ def near_duplicates(df: DataFrame, words: int, percent: int, id_col: str = "doc_
             break
         seed += 1  # two sets share the 64-bit class number: number them anew
     levels = spark.sparkContext.broadcast(_frequency_order(rows.where("part is not null").select("part", "counts")))
-    shared = _postings(docs, words, percent, seed, levels, None).groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
-    shared = write_shared(shared.where("low <> high").select("token"), "shared-tokens")
-    packed = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    for word, bits in _filter_words(shared, "token").collect():
-        packed[word] = np.int64(bits).astype(np.uint64)
-    lists = _postings(docs, words, percent, seed, levels, spark.sparkContext.broadcast(packed)).distinct()
-    lists = write_shared(lists.join(shared, "token"), "postings")
+    every = write_shared(_postings(docs, words, percent, seed, levels), "all-postings")
+    shared = every.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high")
+    shared = write_shared(shared.select("token"), "shared-tokens")
+    lists = write_shared(every.join(shared, "token").distinct(), "postings")
 
     wanted = write_shared(lists.select("cid").distinct().join(classes.select("cid", "rep"), "cid").withColumn("key", F.xxhash64("rep")), "wanted")
     words_table = write_shared(_filter_words(wanted, "key"), "filter")

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one vectorised step looks at; a longer document makes a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step looks at (its arrays stay in a core's cache); a longer document is a step of its own.
+STEP_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -146,9 +146,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0, space: np.
     return words, np.diff(np.searchsorted(begin, offsets))
 
 
-def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
+def shingles(words: np.ndarray, counts: np.ndarray, k: int, places: bool = False):
     """For each row the sorted distinct hashes of its ``k``-word shingles; with fewer words the whole sequence is one;
-    without words there is none."""
+    without words there is none. ``places``: also, in a second list, at which word of the row each of them begins first."""
     weights = powers(k, 0xD6E8FEB86659FD93)
     if len(words) >= k:
         n = len(words) - k + 1
@@ -158,8 +158,15 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
         rolled = mix(rolled)
     else:
         rolled = np.zeros(0, np.uint64)
-    out, low = [], 0
+    out, first, low = [], [], 0
     for n in counts.tolist():
+        if n >= k and places:
+            found, at = np.unique(rolled[low : low + n - k + 1], return_index=True)
+            out.append(found)
+            first.append(at)
+            low += n
+            continue
+        first.append(np.zeros(min(n, 1), np.int64))
         if n >= k:
             out.append(np.unique(rolled[low : low + n - k + 1]))
         elif n:
@@ -167,4 +174,4 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
         low += n
-    return out
+    return (out, first) if places else out
