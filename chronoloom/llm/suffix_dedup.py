@@ -14,9 +14,11 @@ Every byte that a LENGTH-byte string covers which also starts anywhere else is r
    between neighbours that appears in round h says that their common prefix is h - 1 superletters. After LENGTH / STEP
    rounds the intervals without a border are the repeated windows.
 4. Anchors with more than MOST_CONTEXTS different contexts don't meet in one task: their windows are counted by a
-   128-bit hash, pre-aggregated, which gives the same.
+   128-bit hash, pre-aggregated, which gives the same; first what PART neighbouring windows have in common, then the
+   windows for which that occurs twice.
 
-Hashes of 128 bits stand for equal bytes in steps 2 and 4. What is broadcast are filters of 2^FILTER_BITS bits.
+Hashes of 128 bits stand for equal bytes in steps 2 and 4. What is broadcast are filters of 2^SENT_BITS and
+2^FILTER_BITS bits.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; rows that repeat an id and a text repeat each
 other; other columns are not read.
@@ -36,9 +38,11 @@ from .jaccard_join import FILTER_BITS, _filter_words
 from .shared import mix, powers, small_batches, steps, text_view, write_shared
 
 LENGTH, GRAM, STEP = 200, 64, 8
-MOST_CONTEXTS, CHUNK_BYTES, SHARD_CONTEXTS = 1_000, 60_000, 64
-#: Bytes of a step; a place in it has to fit in PLACE_BITS.
-PLACE_BITS, SEGMENT = 20, (1 << 20) - 4096
+MOST_CONTEXTS, CHUNK_BYTES, SHARD_CONTEXTS, PART = 1_000, 60_000, 64, 8
+#: Bytes of a step (its arrays stay in a core's cache); a place in it has to fit in PLACE_BITS.
+PLACE_BITS, SEGMENT = 20, 1 << 16
+#: Bits of the filters that Python workers get.
+SENT_BITS = 26
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -71,9 +75,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if n <= 0:
         return none, none, none, np.zeros(0, np.uint64), None
     sums = running_sums(data)
-    grams = rolling(sums, np.arange(len(data) - gram + 1), gram)
-    place = np.arange(len(grams), dtype=np.uint64)
-    low = (grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | (np.uint64((1 << PLACE_BITS) - 1) - place)
+    grams = mix((sums[gram:] - sums[:-gram]) * _tables()[1][: len(data) - gram + 1])
+    last_place = np.uint64((1 << PLACE_BITS) - 1)
+    low = (grams & ~last_place) | (last_place - np.arange(len(grams), dtype=np.uint64))
     width, size = length - gram + 1, 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
@@ -113,15 +117,21 @@ class Shard:
     """Suffix order and Burrows-Wheeler transform of a few strings of superletters (letters from 1; 0 ends a string)."""
 
     def __init__(self, letters: np.ndarray, ends: np.ndarray):
-        rank, reach = letters.astype(np.int64), 1
+        rank, reach = letters.astype(np.int64, copy=True), 1
         far = np.repeat(ends, np.diff(np.concatenate([[0], ends + 1])))  # the end of each place's string
         at, n = np.arange(len(letters)), len(letters)
         span = int(np.diff(np.concatenate([[-1], ends])).max())
         while reach < span:  # prefix doubling within the strings
             ahead = at + reach
             after = np.where(ahead <= far, rank[np.minimum(ahead, n - 1)] + 1, 0)
-            _, rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)
+            key = rank * (int(rank.max()) + 2) + after
+            order = np.argsort(key)
+            fresh = np.zeros(n, np.int64)
+            fresh[1:] = np.diff(key[order]) != 0
+            rank[order] = np.cumsum(fresh)
             reach *= 2
+            if fresh.sum() == n - 1:
+                break
         self.order = np.argsort(rank, kind="stable")
         before = np.concatenate([[0], letters[:-1]])  # the letter in front of a string is the end of the one before it: 0
         self.transform = before[self.order]
@@ -152,31 +162,27 @@ def merge(shards: list[Shard], rounds: int) -> np.ndarray:
 
 def repeated_windows(texts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
     """For each context the numbers of its windows that occur at least twice, a context counting ``counts`` times."""
-    width = length // STEP
-    letters, ends, owner, window = [], [], [], []
-    at = 0
-    bounds = []
-    for i, text in enumerate(texts):
-        if i % SHARD_CONTEXTS == 0:
-            bounds.append((at, len(ends)))
-        raw = np.frombuffer(text, np.uint8)
-        for phase in range(min(STEP, len(raw) - STEP + 1)):
-            n = (len(raw) - phase) // STEP
-            letters.append(raw[phase : phase + n * STEP].view(">u8"))
-            owner.append(np.append(np.full(n, i), -1))
-            window.append(np.append(np.arange(n) * STEP + phase, -1))
-            at += n + 1
-            ends.append(at - 1)
-    _, ranks = np.unique(np.concatenate(letters), return_inverse=True)
-    ends_a, flat = np.array(ends), np.zeros(at, np.int64)
-    inner = np.ones(at, bool)
-    inner[ends_a] = False
-    flat[inner] = ranks + 1
-    bounds.append((at, len(ends)))
-    shards = [Shard(flat[a:b], ends_a[i:j] - a) for (a, i), (b, j) in zip(bounds, bounds[1:])]
-    interval = merge(shards, width)
-    owners, windows = np.concatenate(owner), np.concatenate(window)
     sizes = np.array([len(t) for t in texts])
+    raw = np.frombuffer(b"".join(texts) + b"\0" * STEP, np.uint8).astype(np.uint64)
+    value = np.zeros(len(raw) - STEP, np.uint64)  # the superletter that begins at each byte
+    for i in range(STEP):
+        value = value << np.uint64(8) | raw[i : i + len(value)]
+    count = sizes - STEP + 1
+    owner = np.repeat(np.arange(len(texts)), count)
+    begin = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    string = owner * STEP + begin % STEP  # one string for each context and phase
+    order = np.argsort(string.astype(np.uint16 if len(texts) * STEP < 1 << 16 else np.uint32), kind="stable")
+    _, ranks = np.unique(value[begin + np.repeat(np.cumsum(sizes) - sizes, count)], return_inverse=True)
+    place = np.arange(len(order)) + string[order]  # an end (0) follows each string
+    ends = np.cumsum(np.bincount(string, minlength=len(texts) * STEP) + 1) - 1
+    flat, owners, windows = np.zeros(len(order) + len(ends), np.int64), np.full(len(order) + len(ends), -1), np.zeros(len(order) + len(ends), np.int64)
+    flat[place], owners[place], windows[place] = ranks[order] + 1, owner[order], begin[order]
+    cut = [*range(0, len(ends), SHARD_CONTEXTS * STEP), len(ends)]
+    shards = []
+    for i, j in zip(cut, cut[1:]):
+        low = int(ends[i - 1]) + 1 if i else 0
+        shards.append(Shard(flat[low : int(ends[j - 1]) + 1], ends[i:j] - low))
+    interval = merge(shards, length // STEP)
     full = (owners >= 0) & (windows + length <= sizes[owners])
     total = np.bincount(interval[full], np.array(counts)[owners[full]], minlength=int(interval.max()) + 1)
     hit = full.copy()
@@ -194,14 +200,14 @@ def _runs(numbers: np.ndarray) -> list[dict]:
 
 
 def _passes(wanted: np.ndarray, key: np.ndarray) -> np.ndarray:
-    place = key & np.uint64((1 << FILTER_BITS) - 1)
+    place = key & np.uint64((1 << SENT_BITS) - 1)
     return (wanted[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _sent_filter(keys: DataFrame, key: str):
-    packed = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    for word, bits in _filter_words(keys, key).collect():
-        packed[word] = np.int64(bits).astype(np.uint64)
+    packed = np.zeros(1 << SENT_BITS - 6, np.uint64)
+    rows = _filter_words(keys, key, SENT_BITS).toArrow()
+    packed[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(packed)
 
 
@@ -238,10 +244,10 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most_contexts: int)
                 two = rolling(running_sums(part, 77), first, size) + size.astype(np.uint64)
                 take = pa.array(row + first_row)
                 lo = first - at[row] + begin
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in (anchors.view(np.int64), one.view(np.int64), two.view(np.int64), lo, lo + (last - first)))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in (anchors.view(np.int64), one.view(np.int64), two.view(np.int64), lo.astype(np.int32), (last - first + 1).astype(np.int32)))], names)
 
-    names = ["id", "tkey", "anchor", "c1", "c2", "lo", "hi"]
-    rows = docs.select("id", "tkey", "text").mapInArrow(places, f"id {kind}, tkey long, anchor long, c1 long, c2 long, lo long, hi long")
+    names = ["id", "tkey", "anchor", "c1", "c2", "lo", "windows"]
+    rows = docs.select("id", "tkey", "text").mapInArrow(places, f"id {kind}, tkey long, anchor long, c1 long, c2 long, lo int, windows int")
     rows = write_shared(rows, "contexts")
     distinct = write_shared(rows.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n")), "distinct-contexts")
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
@@ -294,26 +300,65 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most_contexts: int)
     dealt = found.where(F.col("kinds") <= most_contexts).select(*columns).repartition("anchor").sortWithinPartitions("anchor", "c1")
     runs = dealt.mapInArrow(merged, f"anchor long, c1 long, c2 long, runs {_RUNS}")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, one, two, raw, n in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(raw, np.uint8)
-                number = np.arange(len(data) - length + 1)
-                a, b = (rolling(running_sums(data, s), number, length).view(np.int64) for s in (0, 77))
-                same = lambda x, number=number: pa.array(np.full(len(number), x, np.int64))
-                yield pa.RecordBatch.from_arrays([same(anchor), same(one), same(two), same(n), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b)], ["anchor", "c1", "c2", "n", "number", "w1", "w2"])
-
-    hot = found.where(F.col("kinds") > most_contexts).select(*columns).mapInArrow(windows, "anchor long, c1 long, c2 long, n long, number int, w1 long, w2 long")
-    hot = write_shared(hot, "hot-windows")
-    twice = write_shared(hot.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2"), "hot-repeated")
-    single = hot.where("n = 1").join(twice, ["w1", "w2"]).groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct(F.col("number").alias("lo"), F.col("number").alias("hi"))).alias("runs"))  # a context's own windows
+    def parts_of(raw: bytes, anchor: int) -> tuple[int, list[tuple[int, int, int]]]:
+        """The anchor's place in a context, and its parts: their windows begin PART * q to PART * q + PART - 1 places
+        before the anchor. Number q, first and last window."""
+        data = np.frombuffer(raw, np.uint8)
+        grams = rolling(running_sums(data), np.arange(length - gram + 1), gram)
+        place = int(np.flatnonzero(grams.view(np.int64) == anchor)[-1])  # it is in the first window
+        q = (place - np.arange(len(data) - length + 1)) // PART
+        edge = np.flatnonzero(np.diff(q)) + 1
+        first = [0, *edge.tolist()]
+        return place, list(zip(q[first].tolist(), first, [*(edge - 1).tolist(), len(q) - 1]))
+
+    def hashed(cores: bool):
+        """One row for each part, the hash of the bytes that all windows of the part's places have in common (they are in
+        the context even if it has only some of these windows); or one row for each window of the wanted parts."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [[] for _ in names_of_parts]
+                for anchor, one, two, raw, n, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                    data = np.frombuffer(raw, np.uint8)
+                    place, found = parts_of(raw, anchor)
+                    if cores:
+                        number, size = [q for q, _, _ in found], length - PART + 1
+                        low = place - PART * np.array(number)
+                    else:
+                        number, size = [i for q, first, last in found if q in wanted for i in range(first, last + 1)], length
+                        low = np.array(number, np.int64)
+                    a, b = (rolling(running_sums(data, x), low, size).view(np.int64).tolist() for x in (0, 77))
+                    k = len(number)
+                    for column, values in zip(out, ([anchor] * k, [one] * k, [two] * k, [n] * k, number, a, b)):
+                        column += values
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 4 else pa.int64()) for i, x in enumerate(out)], names_of_parts)
+
+        return run
+
+    names_of_parts = ["anchor", "c1", "c2", "n", "number", "w1", "w2"]
+    kinds_of_parts = "anchor long, c1 long, c2 long, n long, number int, w1 long, w2 long"
+    crowded = found.where(F.col("kinds") > most_contexts)
+    none = F.expr("cast(array() as array<int>)").alias("wanted")
+
+    def twice_only(hashes: DataFrame, name: str) -> DataFrame:
+        """The rows of contexts that occur once whose hash occurs at least twice."""
+        hashes = write_shared(hashes, name)
+        twice = hashes.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
+        return hashes.join(write_shared(twice, f"{name}-repeated"), ["w1", "w2"])
+
+    # a window can only occur twice if what it shares with the part's other windows does
+    cores = twice_only(crowded.select(*columns, none).mapInArrow(hashed(True), kinds_of_parts), "cores")
+    cores = write_shared(cores.groupBy("anchor", "c1", "c2").agg(F.sort_array(F.collect_set("number")).alias("wanted")), "open-parts")  # a context's own
+    windows = crowded.join(cores, ["anchor", "c1", "c2"]).select(*columns, "wanted").mapInArrow(hashed(False), kinds_of_parts)
+    windows = twice_only(windows, "windows").where("n = 1")
+    single = windows.groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct(F.col("number").alias("lo"), F.col("number").alias("hi"))).alias("runs"))  # a context's own
     runs = write_shared(runs.unionByName(single), "runs")
 
-    known = write_shared(distinct.where("n > 1").select("anchor", "c1", "c2"), "repeated-contexts")
-    whole = rows.join(known, ["anchor", "c1", "c2"]).select("id", "tkey", "lo", (F.col("hi") + length).alias("hi"))
-    part = rows.join(runs.where(F.size("runs") > 0), ["anchor", "c1", "c2"]).select("id", "tkey", "lo", F.explode("runs").alias("run"))
-    part = part.select("id", "tkey", (F.col("lo") + F.col("run.lo")).alias("lo"), (F.col("lo") + F.col("run.hi") + length).alias("hi"))
-    return whole.unionByName(part)
+    whole = distinct.where("n > 1").select("c1", "c2", F.lit(None).cast(_RUNS).alias("runs"))
+    known = write_shared(whole.unionByName(runs.where(F.size("runs") > 0).select("c1", "c2", "runs")), "repeated-contexts")
+    hit = rows.select("id", "tkey", "c1", "c2", "lo", "windows").join(known, ["c1", "c2"])
+    spans = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"))))
+    hit = hit.select("id", "tkey", F.col("lo").cast("long").alias("lo"), F.explode(spans).alias("run"))
+    return hit.select("id", "tkey", (F.col("lo") + F.col("run.lo")).alias("lo"), (F.col("lo") + F.col("run.hi") + length).alias("hi"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, keep_bytes: bool = True) -> DataFrame:
