@@ -1,11 +1,15 @@
 """Operator 9: line dedup by a segment-partition edit join. DataFrame functions only.
 
 A line (trimmed of blanks) is a duplicate if an equal line stands earlier, by (id, line number), or if a different line
-whose first place is earlier is within ``limit`` edits; limit(n) = min(max_edits, n div CHARS_PER_EDIT) with n the length
-of the shorter line. A line of n characters is split into limit + 1 segments, so a line within that many edits has one of
-them whole. The index has one row for each segment under (length, segment number, content); a line probes the index of
-each length it may match, at the few places where that segment can begin. Lines that share a key are verified with a
-banded bit-parallel edit distance: bit d of a state is diagonal d of the band, one state for each number of edits.
+whose first place is earlier is within THRESHOLD edits. Lines of fewer than LEAST_NEAR characters are only compared as
+equal: an edit in a very short line makes another line.
+
+A line is split into threshold + 1 segments, so that a line within the threshold has one of them whole; the rest is split
+in the same way again, so a key is a whole segment together with a whole segment of the rest, which keeps the lists of
+hot segments short. The index has the keys of each line under its length and the segment numbers; a line probes the index
+of its own length and of lines shorter by one, at the place that the segments then have. Lines that share a key are
+verified with a banded bit-parallel edit distance: bit d of a state is diagonal d of the band, one state for each number
+of edits.
 
 Equal lines meet as 128-bit hashes, never as text, and are pre-aggregated; text moves only for the lines that have a
 candidate. A hot line is one row on either side of the edit join.
@@ -22,56 +26,32 @@ from pyspark.sql import functions as F
 
 from .shared import write_shared
 
-MAX_EDITS, CHARS_PER_EDIT = 1, 20
+THRESHOLD, LEAST_NEAR = 1, 20
+#: Segments of two levels of threshold + 1.
+PARTS = (THRESHOLD + 1) ** 2
 
 
 def trimmed_lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
 
 
-def limit(n: Column, max_edits: int) -> Column:
-    return F.least(F.lit(max_edits), F.floor(n / CHARS_PER_EDIT).cast("int"))
-
-
-def _segment(n: Column, i: int, t: int) -> tuple[Column, Column]:
-    """Begin (from 1) and length of segment i (from 1) of t + 1 even segments; the last ones are longer by one."""
-    base, odd = F.floor(n / (t + 1)).cast("int"), n % (t + 1)
-    return 1 + (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 2 - t) + odd), base + F.when(F.lit(i - 2 - t) + odd >= 0, 1).otherwise(0)
-
-
-def _key(n: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), part)
+def segment_keys(line: Column, shorter: int) -> Column:
+    """Keys for lines that are ``shorter`` by so many characters: of the four quarters three are whole, those in front of
+    the fourth at their own places and those behind it moved by the difference. Which three tells the segments of both
+    levels."""
+    n = F.length(line) - shorter
+    begin = [F.floor(n * i / PARTS).cast("int") + 1 for i in range(PARTS + 1)]
+    keys = []
+    for i in range(PARTS):
+        before = line.substr(F.lit(1), begin[i] - 1)
+        after = line.substr(begin[i + 1] + shorter, F.length(line))
+        keys.append(F.xxhash64(n, F.lit(i), before, after))
+    return F.array(*keys)
 
 
-def index_keys(line: Column, max_edits: int) -> Column:
-    n, none = F.length(line), F.expr("cast(array() as array<bigint>)")
-    out = none
-    for t in range(1, max_edits + 1):
-        keys = [_key(n, i, line.substr(*_segment(n, i, t))) for i in range(1, t + 2)]
-        out = F.when(limit(n, max_edits) == t, F.array(*keys)).otherwise(out)
-    return out
-
-
-def probe_keys(line: Column, max_edits: int) -> Column:
-    """For lines of the same length and shorter by up to the limit; only places that a match can have."""
-    own, none = F.length(line), F.expr("cast(array() as array<bigint>)")
-    parts = []
-    for less in range(max_edits + 1):
-        n, out = own - less, none
-        for t in range(max(1, less), max_edits + 1):
-            keys = []
-            for i in range(1, t + 2):
-                begin, size = _segment(n, i, t)
-                for shift in range(max(-(i - 1), less - (t + 1 - i)), min(i - 1, less + (t + 1 - i)) + 1):
-                    keys.append(_key(n, i, line.substr(begin + shift, size)))
-            out = F.when(limit(n, max_edits) == t, F.array(*keys)).otherwise(out)
-        parts.append(out)
-    return F.concat(*parts)
-
-
-def within_edits(a: Column, b: Column, most: Column, max_edits: int) -> Column:
-    """Whether the edit distance is at most ``most`` (itself at most ``max_edits``). State e has bit d set if the first
-    j + d - max_edits characters of ``a`` can become the first j of ``b`` with e edits."""
+def within_edits(a: Column, b: Column, max_edits: int) -> Column:
+    """Whether the edit distance is at most ``max_edits``. State e has bit d set if the first j + d - max_edits characters
+    of ``a`` can become the first j of ``b`` with e edits."""
     width = 2 * max_edits + 1
     full = (1 << width) - 1
     start = F.array(*[F.lit(sum(1 << max_edits + k for k in range(e + 1))) for e in range(max_edits + 1)])
@@ -92,13 +72,12 @@ def within_edits(a: Column, b: Column, most: Column, max_edits: int) -> Column:
 
     def reached(state: Column) -> Column:
         out = F.lit(False)
-        for e in range(max_edits + 1):
-            for d in range(width):
-                out = out | ((most == e) & (gap == d - max_edits) & (state[e].bitwiseAND(F.lit(1 << d)) != 0))
+        for d in range(width):
+            out = out | ((gap == d - max_edits) & (state[max_edits].bitwiseAND(F.lit(1 << d)) != 0))
         return out
 
     steps = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b))).otherwise(F.expr("cast(array() as array<int>)"))
-    return (F.abs(gap) <= most) & F.aggregate(steps, start, turn, reached)
+    return (F.abs(gap) <= max_edits) & F.aggregate(steps, start, turn, reached)
 
 
 def _places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,31 +89,32 @@ def _hash() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), F.col("line")).alias("g")]
 
 
-def near_lines(df: DataFrame, first: DataFrame, max_edits: int, id_col: str, text_col: str) -> DataFrame:
-    """h: hashes of the lines that have an earlier neighbour within the limit. ``first``: h, g, first_id of each line."""
-    lines = _places(df, id_col, text_col).select("line", *_hash()).where(F.length("line") >= CHARS_PER_EDIT)
-    index = lines.select("h", F.explode(index_keys(F.col("line"), max_edits)).alias("key")).distinct()
-    probe = lines.select(F.col("h").alias("p"), F.explode(probe_keys(F.col("line"), max_edits)).alias("key")).distinct()
-    pairs = index.join(probe, "key").where("h <> p").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
+def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h: hashes of the lines that have an earlier neighbour within the threshold. ``first``: h, g, first_id of each line."""
+    lines = _places(df, id_col, text_col).select("line", *_hash()).where(F.length("line") >= LEAST_NEAR)
+    keyed = lambda shorter: lines.select("h", F.explode(segment_keys(F.col("line"), shorter)).alias("key")).distinct()
+    index = keyed(0)
+    same = index.join(index.select(F.col("h").alias("p"), "key"), "key").where("h < p")
+    less = index.join(keyed(1).select(F.col("h").alias("p"), "key"), "key").where("h <> p")
+    pairs = same.unionByName(less).select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
     pairs = write_shared(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(first, "h").select("h", F.col("first_id").alias("id"))
-    texts = _places(df, id_col, text_col).select("id", "at", "line", F.xxhash64("line").alias("h")).where(F.length("line") >= CHARS_PER_EDIT)
+    texts = _places(df, id_col, text_col).select("id", "at", "line", F.xxhash64("line").alias("h")).where(F.length("line") >= LEAST_NEAR)
     texts = texts.join(wanted, ["h", "id"]).groupBy("h").agg(F.min(F.struct("id", "at", "line")).alias("x"))
     texts = write_shared(texts, "line-texts")
     left, right = texts.select(F.col("h").alias("a"), F.col("x").alias("xa")), texts.select(F.col("h").alias("b"), F.col("x").alias("xb"))
     both = pairs.join(left, "a").join(right, "b")
-    most = limit(F.least(F.length("xa.line"), F.length("xb.line")), max_edits)
-    true = both.where(within_edits(F.col("xa.line"), F.col("xb.line"), most, max_edits))
+    true = both.where(within_edits(F.col("xa.line"), F.col("xb.line"), THRESHOLD))
     earlier = F.struct("xa.id", "xa.at") < F.struct("xb.id", "xb.at")
     return true.select(F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that loses lines: id, removed (their numbers from 0, in order), n_near (how many of them are
     only near to an earlier line)."""
     places = _places(df, id_col, text_col).select("id", "at", *_hash())
     first = write_shared(places.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "lines")
-    near = near_lines(df, first, max_edits, id_col, text_col).withColumn("near", F.lit(True))
+    near = near_lines(df, first, id_col, text_col).withColumn("near", F.lit(True))
     marked = write_shared(first.join(near, "h", "left").where("n > 1 or near").select("h", "g", "first_id", F.coalesce("near", F.lit(False)).alias("near")), "marked-lines")
     hits = places.join(marked, ["h", "g"]).select("id", F.struct("h", "g", "at", (F.col("near") | (F.col("id") != F.col("first_id"))).alias("gone"), F.col("near").alias("near")).alias("x"))
     own = hits.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a document's own lines
@@ -144,11 +124,11 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.sort_array(F.transform("gone", lambda x: x["at"])).alias("removed"), F.size(F.filter("gone", lambda x: x["near"])).alias("n_near"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", max_edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """``df`` without the duplicate lines, in its own columns; documents of which nothing is left go."""
     gap = lambda at, i: at - F.when(i > 0, F.get("removed", i - 1)).otherwise(-1) - 1
     flags = F.flatten(F.transform("removed", lambda at, i: F.array_append(F.array_repeat(F.lit(False), gap(at, i)), F.lit(True))))
-    gone = removed_lines(df, id_col, text_col, max_edits).select(F.col(id_col).alias("gone_id"), flags.alias("gone_at"))
+    gone = removed_lines(df, id_col, text_col).select(F.col(id_col).alias("gone_id"), flags.alias("gone_at"))
     rows = df.join(gone, F.col(id_col) == F.col("gone_id"), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.coalesce(F.get("gone_at", i), F.lit(False))), "\n")
     rows = rows.withColumn(text_col, F.when(F.col("gone_at").isNull(), F.col(text_col)).otherwise(kept))
