@@ -221,12 +221,12 @@ def pf10_unit_scaling(spark, d):
 
 
 @query("pf12_ratios", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity - 10, 0), 6) AS mean_intensity FROM lineitem WHERE l_discount > 0.05""")
+SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity - 10, 0), 9) AS mean_intensity FROM lineitem WHERE l_discount > 0.05""")
 def pf12_ratios(spark, d):
     """PF-12, PF-13, PF-14, PF-15: totals by area; null where the area is 0 (the compat form gives inf or NaN)."""
     from ..functions.measures import mean_intensity
 
-    return table(spark, d, "lineitem").where("l_discount > 0.05").select("l_orderkey", "l_linenumber", F.round(mean_intensity(F.col("l_extendedprice"), F.col("l_quantity") - 10), 6).alias("mean_intensity"))
+    return table(spark, d, "lineitem").where("l_discount > 0.05").select("l_orderkey", "l_linenumber", F.round(mean_intensity(F.col("l_extendedprice"), F.col("l_quantity") - 10), 9).alias("mean_intensity"))
 
 
 @query("pf16_event_predicates", """

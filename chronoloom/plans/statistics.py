@@ -92,11 +92,11 @@ def ag06_cluster_rate(spark, d):
 
 
 @query("ag08_pivot", """
-WITH p AS (SELECT l_suppkey, l_linenumber AS op, printf('%.2f', avg(l_quantity)) || ' ± ' || printf('%.2f', sqrt(var_pop(l_quantity))) || ' (' || CAST(count(*) AS VARCHAR) || ')' AS c FROM lineitem GROUP BY 1, 2)
+WITH p AS (SELECT l_suppkey, l_linenumber AS op, printf('%.6f', avg(l_quantity)) || ' ± ' || printf('%.6f', sqrt(var_pop(l_quantity))) || ' (' || CAST(count(*) AS VARCHAR) || ')' AS c FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, max(c) FILTER (op = 1) AS "1", max(c) FILTER (op = 2) AS "2", max(c) FILTER (op = 3) AS "3" FROM p GROUP BY 1""")
 def ag08_pivot(spark, d):
     """AG-08: hosts by operations."""
-    shown = F.format_string("%.2f ± %.2f (%d)", F.avg("l_quantity"), F.sqrt(F.var_pop("l_quantity")), F.count("l_quantity"))
+    shown = F.format_string("%.6f ± %.6f (%d)", F.avg("l_quantity"), F.sqrt(F.var_pop("l_quantity")), F.count("l_quantity"))
     return R.pivot_stats(table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity"), "l_suppkey", "l_linenumber", [1, 2, 3], shown=shown)
 
 
