@@ -1,15 +1,15 @@
-"""Operator 9: line dedup by a segment-partition edit join. DataFrame functions only.
+"""Operator 9: line dedup by an edit join. DataFrame functions only.
 
 A line (trimmed of blanks) is a duplicate if an equal line stands earlier, by (id, line number), or if a different line
-whose first place is earlier is within THRESHOLD edits. Lines of fewer than LEAST_NEAR characters are only compared as
-equal: an edit in a very short line makes another line.
+whose first place is earlier is within the edit budget of the shorter one of both: one edit for each ``per`` characters
+and at least one; with ``per`` None always one. Lines of fewer than LEAST_NEAR characters are only compared as equal: an
+edit in a very short line makes another line.
 
-A line is split into threshold + 1 segments, so that a line within the threshold has one of them whole; the rest is split
-in the same way again, so a key is a whole segment together with a whole segment of the rest, which keeps the lists of
-hot segments short. The index has the keys of each line under its length and the segment numbers; a line probes the index
-of its own length and of lines shorter by one, at the place that the segments then have. Lines that share a key are
-verified with a banded bit-parallel edit distance: bit d of a state is diagonal d of the band, one state for each number
-of edits.
+Budgets of one edit: a line is split into four quarters, of which three are whole. Larger budgets: n characters with n div
+``per`` edits keep a run of ``common_run(per)`` characters, whatever n is, so both lines have the same least hash in a
+window of that run (winnowing); these least hashes are their keys. So no pair within the budget is missed, and the keys of
+a line grow with its length only. Lines that share a key are verified with a banded edit distance: first each line with the
+earliest of its key, then those that this did not settle with all earlier ones.
 
 Equal lines meet as 128-bit hashes, never as text, and are pre-aggregated; text moves only for the lines that have a
 candidate. A hot line is one row on either side of the edit join.
@@ -21,14 +21,16 @@ expected to be unique; other columns go through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import write_shared
 
-THRESHOLD, LEAST_NEAR = 1, 20
-#: Segments of two levels of threshold + 1.
-PARTS = (THRESHOLD + 1) ** 2
+LEAST_NEAR, PARTS = 20, 4
+#: Characters for each edit in op9 and the pipeline: 2 per cent.
+CHARS_PER_EDIT = 50
+#: Characters whose windows are hashed in one step, so that a place in a long line is found fast.
+BLOCK = 96
 
 
 def trimmed_lines(text: Column) -> Column:
@@ -49,35 +51,39 @@ def segment_keys(line: Column, shorter: int) -> Column:
     return F.array(*keys)
 
 
-def within_edits(a: Column, b: Column, max_edits: int) -> Column:
-    """Whether the edit distance is at most ``max_edits``. State e has bit d set if the first j + d - max_edits characters
-    of ``a`` can become the first j of ``b`` with e edits."""
-    width = 2 * max_edits + 1
-    full = (1 << width) - 1
-    start = F.array(*[F.lit(sum(1 << max_edits + k for k in range(e + 1))) for e in range(max_edits + 1)])
+def common_run(per: int) -> int:
+    """Lines within n div ``per`` edits, n >= 2 ``per``, have so many characters in a row in common: n - e unchanged ones
+    make at most e + 1 runs, and the longest is shortest for two edits."""
+    return -(-(2 * per - 2) // 3)
 
-    def turn(state: Column, j: Column) -> Column:
-        c = b.substr(j, F.lit(1))
-        own = [a.substr(j + (d - max_edits), F.lit(1)) for d in range(width)]
-        match = sum((F.when((j + (d - max_edits) >= 1) & (own[d] == c), F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)), F.lit(0))
-        rows = []
-        for e in range(max_edits + 1):
-            row = state[e].bitwiseAND(match)
-            if e:
-                row = row.bitwiseOR(state[e - 1]).bitwiseOR(F.shiftright(state[e - 1], 1)).bitwiseOR(F.shiftleft(rows[e - 1], 1).bitwiseAND(F.lit(full)))
-            rows.append(row)
-        return F.array(*rows)
 
-    gap = F.length(a) - F.length(b)
+def window_keys(line: Column, per: int) -> Column:
+    """The least hash of each window of ``common_run`` characters."""
+    run = common_run(per)
+    size = (run + 1) // 2
+    width = run - size + 1
 
-    def reached(state: Column) -> Column:
-        out = F.lit(False)
-        for d in range(width):
-            out = out | ((gap == d - max_edits) & (state[max_edits].bitwiseAND(F.lit(1 << d)) != 0))
-        return out
+    def block(b: Column) -> Column:
+        part = line.substr(b, F.lit(BLOCK + run - 1))
+        hashes = F.transform(F.sequence(F.lit(1), F.length(part) - size + 1), lambda i: F.xxhash64(part.substr(i, F.lit(size))))
+        return F.transform(F.sequence(F.lit(1), F.length(part) - run + 1), lambda i: F.array_min(F.slice(hashes, i, width)))
 
-    steps = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b))).otherwise(F.expr("cast(array() as array<int>)"))
-    return (F.abs(gap) <= max_edits) & F.aggregate(steps, start, turn, reached)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(line) - run + 1, F.lit(BLOCK)), block)))
+
+
+def line_keys(line: Column, per: int | None) -> Column:
+    both = F.concat(segment_keys(line, 0), segment_keys(line, 1))
+    if per is None:
+        return both
+    least = max(2 * per, LEAST_NEAR)
+    none = F.expr("cast(array() as array<bigint>)")
+    return F.concat(F.when(F.length(line) <= least, both).otherwise(none), F.when(F.length(line) >= least, window_keys(line, per)).otherwise(none))
+
+
+def within_edits(a: Column, b: Column, max_edits: int | Column) -> Column:
+    """Whether the edit distance is at most ``max_edits``; only a band of that width is computed."""
+    most = F.lit(max_edits) if isinstance(max_edits, int) else max_edits
+    return F.call_function("levenshtein", a, b, most) >= 0
 
 
 def _places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,36 +91,46 @@ def _places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.posexplode(trimmed_lines(F.col(text_col))).alias("at", "line")).where("line <> ''")
 
 
+def _place() -> Column:
+    return F.struct("id", "at")
+
+
 def _hash() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), F.col("line")).alias("g")]
 
 
-def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h: hashes of the lines that have an earlier neighbour within the threshold. ``first``: h, g, first_id of each line."""
-    lines = _places(df, id_col, text_col).select("line", *_hash()).where(F.length("line") >= LEAST_NEAR)
-    keyed = lambda shorter: lines.select("h", F.explode(segment_keys(F.col("line"), shorter)).alias("key")).distinct()
-    index = keyed(0)
-    same = index.join(index.select(F.col("h").alias("p"), "key"), "key").where("h < p")
-    less = index.join(keyed(1).select(F.col("h").alias("p"), "key"), "key").where("h <> p")
-    pairs = same.unionByName(less).select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
-    pairs = write_shared(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(first, "h").select("h", F.col("first_id").alias("id"))
-    texts = _places(df, id_col, text_col).select("id", "at", "line", F.xxhash64("line").alias("h")).where(F.length("line") >= LEAST_NEAR)
-    texts = texts.join(wanted, ["h", "id"]).groupBy("h").agg(F.min(F.struct("id", "at", "line")).alias("x"))
-    texts = write_shared(texts, "line-texts")
-    left, right = texts.select(F.col("h").alias("a"), F.col("x").alias("xa")), texts.select(F.col("h").alias("b"), F.col("x").alias("xb"))
-    both = pairs.join(left, "a").join(right, "b")
-    true = both.where(within_edits(F.col("xa.line"), F.col("xb.line"), THRESHOLD))
-    earlier = F.struct("xa.id", "xa.at") < F.struct("xb.id", "xb.at")
-    return true.select(F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
-
-
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str, per: int | None = None) -> DataFrame:
+    """h: hashes of the lines that have an earlier neighbour within the budget. ``first``: h, g, place of each line."""
+    lines = _places(df, id_col, text_col).where(F.length("line") >= LEAST_NEAR)
+    keys = lines.select(F.xxhash64("line").alias("h"), F.explode(line_keys(F.col("line"), per)).alias("key"))
+    of_key = Window.partitionBy("key")
+    keys = keys.repartition("key").distinct().withColumns({"low": F.min("h").over(of_key), "high": F.max("h").over(of_key)})
+    shared = write_shared(keys.where("low <> high").select("key", "h"), "line-keys")
+    wanted = shared.select("h").distinct().join(first.groupBy("h").agg(F.min("place").alias("place")), "h")
+    texts = _places(df, id_col, text_col).where(F.length("line") >= LEAST_NEAR).select(F.xxhash64("line").alias("h"), _place().alias("place"), "line")
+    texts = write_shared(texts.join(wanted, ["h", "place"]).dropDuplicates(["h"]), "line-texts")
+    shared = write_shared(shared.join(texts.select("h", "place", F.length("line").alias("n")), "h"), "placed-keys")
+    edits = lambda n: F.lit(1) if per is None else F.greatest(F.lit(1), F.floor(n / per).cast("int"))
+
+    def later(pairs: DataFrame) -> DataFrame:
+        """h of the true pairs; ``pairs``: h, n and those of the earlier line, e and m."""
+        pairs = pairs.where(F.abs(F.col("n") - F.col("m")) <= edits(F.least("n", "m"))).select("h", "e", edits(F.least("n", "m")).alias("most")).distinct()
+        both = write_shared(pairs, "line-pairs").join(texts.select("h", "line"), "h").join(texts.select(F.col("h").alias("e"), F.col("line").alias("other")), "e")
+        return write_shared(both.where(within_edits(F.col("line"), F.col("other"), F.col("most"))).select("h").distinct(), "later-lines")
+
+    lead = F.min(F.struct("place", "h", "n")).over(of_key)
+    settled = later(shared.withColumn("lead", lead).select("h", "n", F.col("lead.h").alias("e"), F.col("lead.n").alias("m")).where("h <> e"))
+    others = shared.select("key", F.col("h").alias("e"), F.col("n").alias("m"), F.col("place").alias("before"))
+    rest = later(shared.join(settled, "h", "left_anti").join(others, "key").where(F.col("before") < F.col("place")))
+    return settled.union(rest)
+
+
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per: int | None = None) -> DataFrame:
     """One row per document that loses lines: id, removed (their numbers from 0, in order), n_near (how many of them are
     only near to an earlier line)."""
     places = _places(df, id_col, text_col).select("id", "at", *_hash())
-    first = write_shared(places.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "lines")
-    near = near_lines(df, first, id_col, text_col).withColumn("near", F.lit(True))
+    first = write_shared(places.groupBy("h", "g").agg(F.min(_place()).alias("place"), F.count("*").alias("n")).withColumn("first_id", F.col("place.id")), "lines")
+    near = near_lines(df, first, id_col, text_col, per).withColumn("near", F.lit(True))
     marked = write_shared(first.join(near, "h", "left").where("n > 1 or near").select("h", "g", "first_id", F.coalesce("near", F.lit(False)).alias("near")), "marked-lines")
     hits = places.join(marked, ["h", "g"]).select("id", F.struct("h", "g", "at", (F.col("near") | (F.col("id") != F.col("first_id"))).alias("gone"), F.col("near").alias("near")).alias("x"))
     own = hits.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a document's own lines
@@ -124,11 +140,11 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), F.sort_array(F.transform("gone", lambda x: x["at"])).alias("removed"), F.size(F.filter("gone", lambda x: x["near"])).alias("n_near"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", per: int | None = None) -> DataFrame:
     """``df`` without the duplicate lines, in its own columns; documents of which nothing is left go."""
     gap = lambda at, i: at - F.when(i > 0, F.get("removed", i - 1)).otherwise(-1) - 1
     flags = F.flatten(F.transform("removed", lambda at, i: F.array_append(F.array_repeat(F.lit(False), gap(at, i)), F.lit(True))))
-    gone = removed_lines(df, id_col, text_col).select(F.col(id_col).alias("gone_id"), flags.alias("gone_at"))
+    gone = removed_lines(df, id_col, text_col, per).select(F.col(id_col).alias("gone_id"), flags.alias("gone_at"))
     rows = df.join(gone, F.col(id_col) == F.col("gone_id"), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.coalesce(F.get("gone_at", i), F.lit(False))), "\n")
     rows = rows.withColumn(text_col, F.when(F.col("gone_at").isNull(), F.col(text_col)).otherwise(kept))
@@ -139,7 +155,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = removed_lines(docs)
+    found = removed_lines(docs, per=CHARS_PER_EDIT)
     lines = docs.select("doc_id", F.size(F.filter(trimmed_lines(F.col("text")), lambda x: x != "")).alias("n_lines"))
     out = lines.join(found, "doc_id", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed_lines"))

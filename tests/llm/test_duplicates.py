@@ -217,3 +217,46 @@ def test_within_edits(spark, rng):
     for e in (1, 2, 3):
         got = df.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), e).alias("ok")).collect()
         assert all(r.ok == (distance(r.a, r.b) <= e) for r in got)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_budget_lines(rows, per):
+    """Numbers of the removed lines of each row; rows in order of their ids."""
+    first, near, out = {}, set(), []
+    for i, (_, t) in enumerate(rows):
+        for k, x in enumerate((t or "").split("\n")):
+            first.setdefault(x.strip(" \t\r\x0b\x0c"), (i, k))
+    known = sorted((x for x in first if len(x) >= line_dedup.LEAST_NEAR), key=first.get)
+    for j, x in enumerate(known):
+        if any(abs(len(x) - len(y)) <= (e := max(1, min(len(x), len(y)) // per)) and edit_distance(x, y) <= e for y in known[:j]):
+            near.add(x)
+    for i, (_, t) in enumerate(rows):
+        lines = [x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")]
+        out.append([k for k, x in enumerate(lines) if x and (x in near or first[x] != (i, k))])
+    return out
+
+
+@pytest.mark.parametrize("per", [20, 50])
+def test_line_dedup_budgets(spark, rng, per):
+    """Budgets of one to four edits, at the edges of the length classes, with edits anywhere in the line."""
+    base = ["".join(rng.choice("abcdé fgh") for _ in range(n)).strip() + "." for n in (per - 1, 2 * per, 2 * per + 1, 3 * per, 3 * per + 2, 4 * per, 4 * per + 1)]
+
+    def line():
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            k, o = rng.randrange(len(x)), rng.random()
+            x[k : k + (o < 0.7)] = [] if 0.4 < o < 0.7 else [rng.choice("xyz")]
+        return "".join(x)
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 3)))) for i in range(60)]
+    want = {i: gone for (i, _), gone in zip(rows, brute_budget_lines(rows, per)) if gone}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df, per=per).collect()} == want
