@@ -1,6 +1,6 @@
 """Operator 9: line dedup by an edit join. DataFrame functions only.
 
-A line (trimmed of blanks) is a duplicate if an equal line stands earlier, by (id, line number), or if a different line
+A line (trimmed of blanks) is a duplicate if an equal line stands earlier, by (id, hash of the text, line number), or if a different line
 whose first place is earlier is within the edit budget of the shorter one of both: one edit for each ``per`` characters
 and at least one; with ``per`` None always one. Lines of fewer than LEAST_NEAR characters are only compared as equal: an
 edit in a very short line makes another line.
@@ -15,8 +15,9 @@ Equal lines meet as 128-bit hashes, never as text, and are pre-aggregated; text
 candidate. A hot line is one row on either side of the edit join.
 
 Defined cases: null and empty texts have no lines; blank lines are never duplicates and stay; a document whose lines that
-aren't blank all go is dropped by ``dedup_lines``; rows that repeat an id are treated as one document's rows, so ids are
-expected to be unique; other columns go through.
+aren't blank all go is dropped by ``dedup_lines``; rows that share an id but
+not a text are documents of their own; of rows repeated with id and text one keeps its lines, as the first, and all lines
+of the others are duplicates; other columns go through.
 """
 
 from __future__ import annotations
@@ -63,12 +64,10 @@ def window_keys(line: Column, per: int) -> Column:
     size = (run + 1) // 2
     width = run - size + 1
 
-    def block(b: Column) -> Column:
-        part = line.substr(b, F.lit(BLOCK + run - 1))
-        hashes = F.transform(F.sequence(F.lit(1), F.length(part) - size + 1), lambda i: F.xxhash64(part.substr(i, F.lit(size))))
-        return F.transform(F.sequence(F.lit(1), F.length(part) - run + 1), lambda i: F.array_min(F.slice(hashes, i, width)))
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(line) - run + 1, F.lit(BLOCK)), block)))
+    parts = F.transform(F.sequence(F.lit(1), F.length(line) - run + 1, F.lit(BLOCK)), lambda b: line.substr(b, F.lit(BLOCK + run - 1)))
+    hashes = F.transform(parts, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.xxhash64(x.substr(i, F.lit(size)))))
+    least = F.transform(hashes, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - width + 1), lambda i: F.array_min(F.slice(x, i, width))))
+    return F.array_distinct(F.flatten(least))
 
 
 def line_keys(line: Column, per: int | None) -> Column:
@@ -87,12 +86,12 @@ def within_edits(a: Column, b: Column, max_edits: int | Column) -> Column:
 
 
 def _places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, at (line number from 0), line: lines that aren't blank."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode(trimmed_lines(F.col(text_col))).alias("at", "line")).where("line <> ''")
+    """id, row (hash of the text), at (line number from 0), line: lines that aren't blank."""
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(trimmed_lines(F.col(text_col))).alias("at", "line")).where("line <> ''")
 
 
 def _place() -> Column:
-    return F.struct("id", "at")
+    return F.struct("id", "row", "at")
 
 
 def _hash() -> list[Column]:
@@ -125,28 +124,44 @@ def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str, per:
     return settled.union(rest)
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per: int | None = None) -> DataFrame:
-    """One row per document that loses lines: id, removed (their numbers from 0, in order), n_near (how many of them are
-    only near to an earlier line)."""
-    places = _places(df, id_col, text_col).select("id", "at", *_hash())
-    first = write_shared(places.groupBy("h", "g").agg(F.min(_place()).alias("place"), F.count("*").alias("n")).withColumn("first_id", F.col("place.id")), "lines")
+def _first_removed(df: DataFrame, id_col: str, text_col: str, per: int | None) -> DataFrame:
+    """One row per distinct id and text that loses lines: id, row, removed, n_near, of its first copy."""
+    places = _places(df, id_col, text_col).select("id", "row", "at", *_hash())
+    first = write_shared(places.groupBy("h", "g").agg(F.min(_place()).alias("place"), F.count("*").alias("n")), "lines")
     near = near_lines(df, first, id_col, text_col, per).withColumn("near", F.lit(True))
-    marked = write_shared(first.join(near, "h", "left").where("n > 1 or near").select("h", "g", "first_id", F.coalesce("near", F.lit(False)).alias("near")), "marked-lines")
-    hits = places.join(marked, ["h", "g"]).select("id", F.struct("h", "g", "at", (F.col("near") | (F.col("id") != F.col("first_id"))).alias("gone"), F.col("near").alias("near")).alias("x"))
-    own = hits.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a document's own lines
-    again = lambda x, i: F.when(i > 0, (F.get("xs", i - 1)["h"] == x["h"]) & (F.get("xs", i - 1)["g"] == x["g"])).otherwise(False)
-    gone = F.filter("xs", lambda x, i: x["gone"] | again(x, i))
-    out = own.select("id", gone.alias("gone")).where(F.size("gone") > 0)
-    return out.select(F.col("id").alias(id_col), F.sort_array(F.transform("gone", lambda x: x["at"])).alias("removed"), F.size(F.filter("gone", lambda x: x["near"])).alias("n_near"))
+    marked = write_shared(first.join(near, "h", "left").where("n > 1 or near").select("h", "g", "place", F.coalesce("near", F.lit(False)).alias("near")), "marked-lines")
+    hits = places.join(marked, ["h", "g"]).withColumn("gone", F.col("near") | ~_place().eqNullSafe(F.col("place"))).where("gone")
+    own = hits.groupBy("id", "row").agg(F.sort_array(F.collect_set(F.struct("at", "near"))).alias("xs"))  # a document's own lines
+    return own.select("id", "row", F.col("xs.at").alias("removed"), F.size(F.filter("xs", lambda x: x["near"])).alias("n_near"))
+
+
+def _with_removed(df: DataFrame, id_col: str, text_col: str, per: int | None) -> DataFrame:
+    """All rows of ``df`` with the columns own_lines (numbers of the lines that aren't blank), gone_at (of those that go;
+    null if none does) and gone_near."""
+    key = lambda id_, row: F.xxhash64(F.lit(7), id_, row).alias("own_key")
+    gone = _first_removed(df, id_col, text_col, per).select("row", key(F.col("id"), F.col("row")), F.col("removed").alias("gone_at"), F.col("n_near").alias("gone_near"))
+    numbers = F.filter(F.transform(trimmed_lines(F.col(text_col)), lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    rows = df.select(*df.columns, numbers.alias("own_lines"), F.xxhash64(text_col).alias("own_row"))
+    rows = rows.select(*df.columns, "own_lines", "own_row", key(F.col(id_col), F.col("own_row")))
+    copy = F.row_number().over(Window.partitionBy("own_row", "own_key").orderBy(F.lit(0)))
+    rows = rows.withColumn("own_copy", copy).join(gone.withColumnRenamed("row", "own_row"), ["own_row", "own_key"], "left")
+    every = F.when(F.size("own_lines") > 0, F.col("own_lines"))
+    return rows.select(*df.columns, "own_lines", F.when(F.col("own_copy") > 1, every).otherwise(F.col("gone_at")).alias("gone_at"), "gone_near")
+
+
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per: int | None = None) -> DataFrame:
+    """One row per row of ``df`` that loses lines: id, removed (their numbers from 0, in order), n_near (how many of them
+    are only near to an earlier line)."""
+    rows = _with_removed(df.select(id_col, text_col), id_col, text_col, per).where("gone_at is not null")
+    return rows.select(id_col, F.col("gone_at").alias("removed"), F.coalesce("gone_near", F.lit(0)).alias("n_near"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", per: int | None = None) -> DataFrame:
     """``df`` without the duplicate lines, in its own columns; documents of which nothing is left go."""
-    gap = lambda at, i: at - F.when(i > 0, F.get("removed", i - 1)).otherwise(-1) - 1
-    flags = F.flatten(F.transform("removed", lambda at, i: F.array_append(F.array_repeat(F.lit(False), gap(at, i)), F.lit(True))))
-    gone = removed_lines(df, id_col, text_col, per).select(F.col(id_col).alias("gone_id"), flags.alias("gone_at"))
-    rows = df.join(gone, F.col(id_col) == F.col("gone_id"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.coalesce(F.get("gone_at", i), F.lit(False))), "\n")
+    gap = lambda at, i: at - F.when(i > 0, F.get("gone_at", i - 1)).otherwise(-1) - 1
+    flags = F.flatten(F.transform("gone_at", lambda at, i: F.array_append(F.array_repeat(F.lit(False), gap(at, i)), F.lit(True))))
+    rows = _with_removed(df, id_col, text_col, per).withColumn("gone_flags", flags)
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.coalesce(F.get("gone_flags", i), F.lit(False))), "\n")
     rows = rows.withColumn(text_col, F.when(F.col("gone_at").isNull(), F.col(text_col)).otherwise(kept))
     if count_col in df.columns:
         rows = rows.withColumn(count_col, F.when(F.col("gone_at").isNull(), F.col(count_col)).otherwise(F.length(text_col).cast(dict(df.dtypes)[count_col])))
@@ -155,10 +170,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = removed_lines(docs, per=CHARS_PER_EDIT)
-    lines = docs.select("doc_id", F.size(F.filter(trimmed_lines(F.col("text")), lambda x: x != "")).alias("n_lines"))
-    out = lines.join(found, "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
+    out = _with_removed(docs.select("doc_id", "text"), "doc_id", "text", CHARS_PER_EDIT)
+    none = F.expr("cast(array() as array<int>)")
+    return out.select("doc_id", F.size("own_lines").alias("n_lines"), F.coalesce(F.size("gone_at"), F.lit(0)).alias("n_removed"), F.coalesce("gone_near", F.lit(0)).alias("n_near"), F.coalesce("gone_at", none).alias("removed_lines"))
 
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}

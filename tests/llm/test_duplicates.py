@@ -260,3 +260,17 @@ def test_line_dedup_budgets(spark, rng, per):
     want = {i: gone for (i, _), gone in zip(rows, brute_budget_lines(rows, per)) if gone}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df, per=per).collect()} == want
+
+
+def test_line_dedup_of_repeated_rows_and_ids(spark):
+    """Of repeated rows one stays whole; rows that share an id but not a text keep their own line numbers."""
+    a, b, c = "first line\nsecond line\n\nthird line", "another text\nthird line\nof the same id", " \n"
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, "of the same id\nand more"), (None, "no id"), (None, "no id"), (None, "no id either"), (3, c), (3, c), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    two = [r.text for r in df.where("doc_id = 2").orderBy(F.xxhash64("text")).collect()]
+    rest = {b: "another text\nof the same id", "of the same id\nand more": "and more"} if two[0] == b else {b: "another text", "of the same id\nand more": "of the same id\nand more"}
+    want = [(1, a), (2, rest[b]), (2, rest["of the same id\nand more"]), (None, "no id"), (None, "no id either"), (3, c), (3, c), (4, None), (4, None)]
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    removed = Counter((r.doc_id, *r.removed) for r in line_dedup.removed_lines(df).collect())
+    assert removed[1, 0, 1, 3] == 2 and removed[None, 0] == 1
