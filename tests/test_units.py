@@ -264,3 +264,16 @@ def test_streams(spark, tmp_path):
     q = G.region_stages(G.arriving(spark, folder), "user_id", "event_type", "ts", "1 minute", 60_000).writeStream.outputMode("update").format("memory").queryName("stages").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.stage, r.events) for r in spark.table("stages").collect()} >= {("mask pending", 3)}
+
+
+def test_mixture_query_takes_whole_vectors(spark, tmp_path):
+    from chronoloom.plans import modelling
+
+    r = np.random.default_rng(3)
+    x = np.where(np.arange(90)[:, None] % 3 == 0, 3.0, -1.0) * (np.arange(12)[None] > 5) + r.normal(size=(90, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = x.astype(np.float32).astype(float)
+    for row in modelling.md18_mixture(spark, str(tmp_path)).collect():
+        weight, _, _, score = M.diagonal_em(x, x[: row.components])
+        assert np.allclose(row.weights, weight, atol=1e-6) and np.isclose(row.loglikelihood, score) and np.isclose(row.bic, M.bic(score, 90, row.components, 12))
