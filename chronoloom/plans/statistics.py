@@ -245,4 +245,4 @@ def ma23_arc_length(spark, d):
 def ma25_flow_colours(spark, d):
     """MA-25 and MA-27."""
     u, v = F.col("l_discount") * 10 - 0.5, F.col("l_tax") * 10 - 0.4
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", *[I.flow_colour(u, v, i).alias(c) for i, c in enumerate(("red", "green", "blue"))], I.pyramid_levels(F.lit(640.0), 40, 0.75).alias("levels"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[I.flow_colour(u, v, i).alias(c) for i, c in enumerate(("red", "green", "blue"))], I.pyramid_levels(F.lit(640.0), 40, 0.75).alias("levels"))

@@ -277,3 +277,10 @@ def test_mixture_query_takes_whole_vectors(spark, tmp_path):
     for row in modelling.md18_mixture(spark, str(tmp_path)).collect():
         weight, _, _, score = M.diagonal_em(x, x[: row.components])
         assert np.allclose(row.weights, weight, atol=1e-6) and np.isclose(row.loglikelihood, score) and np.isclose(row.bic, M.bic(score, 90, row.components, 12))
+
+
+def test_flow_colours_of_every_row(spark):
+    from chronoloom.plans import statistics
+
+    small = "/root/testdata/sf0.001"
+    assert statistics.ma25_flow_colours(spark, small).count() == spark.read.parquet(f"{small}/lineitem.parquet").count()
