@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import mix, shingles, small_batches, steps, text_view, word_hashes, write_shared
@@ -306,9 +306,20 @@ def near_duplicates(df: DataFrame, words: int, percent: int, id_col: str = "doc_
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each component, that with the smallest id; its own columns."""
-    gone = near_duplicates(df, words, percent, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col))
-    return df.join(write_shared(gone, "gone"), id_col, "left_anti").select(*df.columns)
+    """``df`` with one row of each component, that with the smallest id (of equal ids, the smallest hash of the text; of
+    rows with both equal, any one); its own columns. Rows without words stay. Ids may repeat or be null: rows are told
+    apart by a 128-bit hash of id and text."""
+    h = F.xxhash64(text_col)
+    own = F.concat_ws("-", F.hex(F.xxhash64(F.lit(3), id_col, h)), F.hex(F.xxhash64(F.lit(5), id_col, F.xxhash64(F.lit(7), text_col)))).alias("row_key")
+    near = near_duplicates(df.select(own, F.col(text_col).alias("row_text")), words, percent, "row_key", "row_text").where("n_shingles > 0").select("row_key", "component_id").distinct()
+    places = df.select(own, F.struct(F.col(id_col).alias("id"), h.alias("h")).alias("place")).groupBy("row_key").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
+    rows = write_shared(near.join(places, "row_key"), "near-rows")
+    least = rows.groupBy("component_id").agg(F.min(F.struct("place", "row_key")).alias("least"))
+    rows = rows.join(least, "component_id").withColumn("stays", F.col("row_key") == F.col("least.row_key"))
+    gone = write_shared(rows.where("not stays or copies > 1").select("row_key", "stays"), "gone")
+    copy = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(0)))
+    numbered = df.select(*df.columns, own).withColumn("row_copy", copy).join(gone, "row_key", "left")
+    return numbered.where(F.col("stays").isNull() | (F.col("stays") & (F.col("row_copy") == 1))).select(*df.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

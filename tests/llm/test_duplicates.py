@@ -274,3 +274,13 @@ def test_line_dedup_of_repeated_rows_and_ids(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     removed = Counter((r.doc_id, *r.removed) for r in line_dedup.removed_lines(df).collect())
     assert removed[1, 0, 1, 3] == 2 and removed[None, 0] == 1
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    a, b = "one two three four five six", "other words that are not like it"
+    rows = [(1, a), (5, a), (5, b), (7, b + " x"), (2, "x y z"), (2, "x y z"), (None, "p q r s"), (None, "P q r s"), (None, "p q r s"), (3, ""), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(df, 3, 60).collect()]
+    null = [t for i, t in got if i is None]
+    assert len(null) == 1 and null[0].lower() == "p q r s"
+    assert sorted(x for x in got if x[0] is not None) == [(1, a), (2, "x y z"), (3, ""), (3, ""), (5, b)]
