@@ -284,3 +284,14 @@ def test_flow_colours_of_every_row(spark):
 
     small = "/root/testdata/sf0.001"
     assert statistics.ma25_flow_colours(spark, small).count() == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
+def test_linear_svm_returns_the_searched_parameter(spark):
+    from chronoloom.plans import modelling
+
+    small = "/root/testdata/sf0.001"
+    got = modelling.md16_linear_svm(spark, small).collect()
+    label = {r.vec_id: int(r.label < 5) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    assert len(got) == len(label) and len({(r.reg_param, r.cv_accuracy, r.accuracy) for r in got}) == 1
+    assert got[0].reg_param in (0.001, 0.01, 0.1, 1.0) and 0 < got[0].cv_accuracy <= 1
+    assert got[0].accuracy == pytest.approx(sum(r.prediction == label[r.vec_id] for r in got) / len(got))
