@@ -3,29 +3,34 @@
 Two documents link when 100 * |intersection| >= percent * |union| of their sets of word shingles. Documents with equal
 sets are one class; only classes are compared.
 
-A class that can link with another shares at least T of its n shingles with it, T = ceil(percent * n / 100), so by
-DivideSkip's division T - 1 of its inverted lists may be set aside as long ones: only the n - T + 1 shortest lists are
-written and merged, over the cluster, into candidates. How long a list is, is judged by the rarest word of its shingle,
-from a sketch of word counts over all documents that has a fixed size; it gives one order for all. A
-candidate's overlap is then decided by ``DivideSkip.search`` in the task that has both sides: it merges the shorter lists
-of the members present and probes the long ones by binary search.
-
-No group is expanded into pairs. In a first round each class that shares a list is compared with one leader of the list;
-linked classes become components (large-star / small-star). Lists within one component are finished. In what is left only
-classes outside the list's main component are compared with the classes of other components in it; while that would be
-more than FEW_PAIRS pairs a posting, further rounds with other leaders come first. Each link between different texts is
-thus found or is between classes that are connected already; there is no cap on partners or candidates.
-
-What is broadcast has a fixed size: the sketch (2^SKETCH_BITS bytes) and a filter of 2^FILTER_BITS bits.
+1. Lists. A class that links with another shares at least T of its n shingles with it, T = ceil(percent * n / 100), so one
+   of its n - T + 1 rarest shingles is in the other's likewise. How rare a shingle is, is judged by its rarest word, from a
+   sketch of word counts over all documents that has a fixed size; it gives one order for all. The inverted lists of these
+   shingles, sorted by set size, are parted where two sizes that follow each other can't link; lists of one class, lists in
+   which no class could be the smaller side of a link, lists with the same members as another, and classes that share too
+   few of these shingles with others for any link go.
+2. Units. Classes joined by lists are a unit. A unit of at most UNIT_SHINGLES shingles is searched in one task. Of a
+   larger one each list is a unit of its own where that is less work.
+3. Search. In a task ``DivideSkip.search`` merges the query's short inverted lists with a heap, probes the long ones by
+   binary search and keeps the members that reach the required overlap; members that are connected with the query already
+   are left out. A task returns the links of a spanning forest, never the pairs of a group.
+4. Larger units are dealt to blocks of members. Leaders, of which a unit has LEADERS at most, go to all its blocks, again
+   with others as long as that connects many classes; then what is outside the unit's main component is searched in all
+   its blocks. So each link is found or is between classes that are connected already; no partner or candidate is cut off.
+
+Sets travel, never texts, and once for a small unit. What is broadcast has a fixed size: the sketch (2^SKETCH_BITS bytes)
+and a filter of 2^FILTER_BITS bits. Shingles are 64-bit hashes, equal sets two of them; two sets with the same first hash
+are told apart by the second.
 
 Defined cases: a null or empty text, and one without words, has an empty set, links with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one shingle; rows that repeat an id are reported
-each; other columns are not read. Texts are read whole.
+each; a null id is never the smallest one, and a component that has no other id has a null one; other columns are not
+read. Texts are read whole; a very long one is a unit of its own size in one task.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +41,14 @@ from pyspark.sql import functions as F
 from .shared import mix, shingles, small_batches, steps, text_view, word_hashes, write_shared
 
 SKETCH_BITS, SKETCH_PARTS, FILTER_BITS = 20, 256, 23
-FEW_PAIRS, MOST_ROUNDS = 4, 4
-#: DivideSkip's weight of a binary probe against a merged entry.
-PROBE_WEIGHT = 0.01
+#: Shingles that one task searches, where single sets aren't larger; leaders of a larger unit.
+UNIT_SHINGLES, LEADERS = 1 << 18, 32
+#: DivideSkip's weight of a binary probe against a merged entry; entries beyond which runs are merged by a stable sort.
+PROBE_WEIGHT, HEAP_ENTRIES = 0.01, 256
+#: Lists of at most so many classes are a row each.
+SHORT_LIST = 8
+#: Classes that a task remembers so as to send the lists of copies once.
+REMEMBERED = 1 << 17
 
 
 def least_overlap(a, b, percent: int):
@@ -46,6 +56,24 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def merged_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Members of sorted lists and in how many of them each is, by a heap; many entries by a stable sort, which merges
+    their sorted runs."""
+    if sum(map(len, lists)) > HEAP_ENTRIES:
+        together = np.sort(np.concatenate(lists), kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], together[1:] != together[:-1]]))
+        return together[begin], np.diff(np.append(begin, len(together)))
+    found: list[int] = []
+    count: list[int] = []
+    for member in heapq.merge(*(x.tolist() for x in lists)):
+        if found and found[-1] == member:
+            count[-1] += 1
+        else:
+            found.append(member)
+            count.append(1)
+    return np.array(found, np.int64), np.array(count, np.int64)
+
+
 class DivideSkip:
     """Inverted lists over a few sets of sorted distinct hashes."""
 
@@ -54,14 +82,16 @@ class DivideSkip:
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         members = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
-        self.members = members[order]
-        self.tokens, begin = np.unique(tokens[order], return_index=True)
-        self.begin = np.append(begin, len(tokens))
+        self.members, tokens = members[order], tokens[order]
+        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        self.tokens, self.begin = tokens[begin], np.append(begin, len(tokens))
 
-    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """Members that link with the query, in order."""
+    def search(self, query: np.ndarray, percent: int, open_members: np.ndarray | None = None) -> np.ndarray:
+        """Members that link with the query, in order; of ``open_members`` only, a flag for each, if given."""
         n = len(query)
         fit = (100 * self.sizes >= percent * n) & (100 * n >= percent * self.sizes) & (self.sizes > 0)
+        if open_members is not None:
+            fit &= open_members
         if not n or not fit.any() or not len(self.tokens):
             return np.zeros(0, np.int64)
         need = least_overlap(n, self.sizes, percent)
@@ -74,11 +104,12 @@ class DivideSkip:
         at = at[np.argsort(size, kind="stable")]
         n_long = min(least - 1, int(least / (PROBE_WEIGHT * np.log2(max(int(size.max()), 2)) + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-        found, count = np.unique(np.concatenate([self.members[self.begin[i] : self.begin[i + 1]] for i in short.tolist()]), return_counts=True)
+        found, count = merged_counts([self.members[self.begin[i] : self.begin[i + 1]] for i in short.tolist()])
         open_lists = len(long)
         for i in long.tolist():
             live = fit[found] & (count + open_lists >= need[found])
-            found, count = found[live], count[live]
+            if not live.all():
+                found, count = found[live], count[live]
             if not len(found):
                 return found
             own = self.members[self.begin[i] : self.begin[i + 1]]
@@ -88,11 +119,38 @@ class DivideSkip:
         return found[fit[found] & (count >= need[found])]
 
 
-def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    data, offsets = text_view(column)
-    for low, high in steps(offsets):
-        at = offsets[low : high + 1]
-        yield from shingles(*word_hashes(data[at[0] : at[-1]], at - at[0]), words)
+def forest(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what the links of the queries with the members connect. ``rows``: (cid, query, member, label,
+    set); rows with one label are connected already."""
+    of_cid: dict[int, list] = {}
+    for cid, query, member, label, tokens in rows:
+        own = of_cid.setdefault(cid, [False, False, label, tokens])
+        own[0] |= query
+        own[1] |= member
+    cids, rows = list(of_cid), list(of_cid.values())
+    members = np.array([i for i, own in enumerate(rows) if own[1]], np.int64)
+    index = DivideSkip([rows[i][3] for i in members.tolist()])
+    comp = np.unique(np.array([own[2] for own in rows], np.int64), return_inverse=True)[1]
+    all_ask, out = all(own[0] and own[1] for own in rows), []
+    for i, own in enumerate(rows):
+        if own[0]:
+            apart = comp[members] != comp[i]
+            if all_ask:
+                apart[: i + 1] = False
+            for j in members[index.search(own[3], percent, apart)].tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((cids[i], cids[j]))
+    return out
+
+
+def _class_of(s: np.ndarray, taken: frozenset[int], bits: int = 64) -> tuple[int, int]:
+    """A number for a set, and a second one to tell sets with the same number apart. ``taken``: numbers of several sets;
+    these sets are numbered by their second one."""
+    a = mix(mix(s + np.uint64(1)).sum(keepdims=True, dtype=np.uint64)) >> np.uint64(64 - bits)
+    b = mix(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True, dtype=np.uint64) + np.uint64(1))
+    first = int(a.view(np.int64)[0])
+    return int(mix(b ^ a).view(np.int64)[0]) if first in taken else first, int(b.view(np.int64)[0])
 
 
 def _levelled_sets(column: pa.Array, words: int, level: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,14 +170,7 @@ def _levelled_sets(column: pa.Array, words: int, level: np.ndarray) -> Iterator[
             begin += n
 
 
-def _class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two 64-bit hashes of a set, as signed numbers."""
-    a = mix(s + np.uint64(2 * seed + 1)).sum(dtype=np.uint64)
-    b = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5 - seed)).sum(dtype=np.uint64)
-    return int(np.int64(mix(np.array([a]))[0].astype(np.int64))), int(b.astype(np.int64))
-
-
-def _profiles(docs: DataFrame, words: int, seed: int) -> DataFrame:
+def _profiles(docs: DataFrame, words: int, taken: frozenset[int], bits: int) -> DataFrame:
     """Rows of documents (id, n, cid, c2) and, with ``part``, of the partitions' frequency sketches."""
     kind = dict(docs.dtypes)["id"]
     each = (1 << SKETCH_BITS) // SKETCH_PARTS
@@ -135,7 +186,7 @@ def _profiles(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 hashes, counts = word_hashes(data[at[0] : at[-1]], at - at[0])
                 sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
                 for s in shingles(hashes, counts, words):
-                    one, two = _class_of(s, seed) if len(s) else (None, None)
+                    one, two = _class_of(s, taken, bits) if len(s) else (None, None)
                     n.append(len(s))
                     first.append(one)
                     second.append(two)
@@ -164,23 +215,106 @@ def _frequency_order(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(docs: DataFrame, words: int, percent: int, seed: int, levels) -> DataFrame:
-    """(token, cid, n) of the lists that aren't set aside."""
+def _postings(docs: DataFrame, words: int, percent: int, taken: frozenset[int], bits: int, levels) -> DataFrame:
+    """(token, cid, n, short) of the rarest shingles; short: it is one of those that the smaller side of a link needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            tokens, cids, sizes = [], [], []
+            tokens, cids, sizes, short = [], [], [], []
             for s, level in _levelled_sets(batch.column(1), words, levels.value):
                 n = len(s)
-                if n:
+                cid = _class_of(s, taken, bits)[0] if n else None
+                if n and cid not in known:
+                    if len(known) == REMEMBERED:
+                        known.clear()
+                    known.add(cid)
                     order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
                     kept = s[order[: n + percent * n // -100 + 1]]
                     tokens.append(kept.view(np.int64))
-                    cids.append(np.full(len(kept), _class_of(s, seed)[0], np.int64))
+                    cids.append(np.full(len(kept), cid, np.int64))
                     sizes.append(np.full(len(kept), n, np.int64))
+                    short.append(np.arange(len(kept)) <= n - least_overlap(n, n, percent))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, cids, sizes)], ["token", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, cids, sizes, short)], ["token", "cid", "n", "short"])
+
+    return docs.select("id", "text").mapInArrow(run, "token long, cid long, n long, short boolean")
+
+
+def _lists(postings: DataFrame, percent: int) -> DataFrame:
+    """Lists of at least two classes, from postings sorted by token and size: those of at most SHORT_LIST as a row each
+    (cids, sizes, short), of others each entry (list, cid, n, short). Only so many entries are held back at a time."""
+    names = ["cids", "sizes", "list", "cid", "n", "short"]
+
+    def rows(token, cid, n, short, begin, size, first) -> pa.RecordBatch:
+        """``begin``, ``size``: of the lists; ``first``: a number for each entry of the long ones."""
+        few = (size >= 2) & (size <= SHORT_LIST) & (first[begin] == 0)
+        at = np.repeat(few, size)
+        offsets = np.append(0, np.cumsum(size[few])).astype(np.int32)
+        arrays = [pa.ListArray.from_arrays(offsets, x[at]) for x in (cid, n)]
+        any_short = np.maximum.reduceat(short, begin)[few]
+        many = np.flatnonzero(first)
+        number = mix(first[many].view(np.uint64) ^ token[many].view(np.uint64)).view(np.int64)
+        none, no_list = pa.nulls(len(offsets) - 1, pa.int64()), pa.nulls(len(many), arrays[0].type)
+        few_rows = [*arrays, none, none, none, pa.array(any_short)]
+        many_rows = [no_list, no_list, pa.array(number), pa.array(cid[many]), pa.array(n[many]), pa.array(short[many])]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(few_rows, many_rows)], names)
 
-    return docs.select("id", "text").mapInArrow(run, "token long, cid long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long_first = None, 0  # entries of the last list, or its last one if it is a long one, which has a number then
+        for batch in batches:
+            new = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if not len(new[0]):
+                continue
+            token, cid, n, short = new if held is None else (np.concatenate(x) for x in zip(held, new))
+            other = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])])
+            token, cid, n, short = token[other], cid[other], n[other], short[other]
+            begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])]))
+            size = np.diff(np.append(begin, len(n)))
+            first = np.where(size > SHORT_LIST, mix(n[begin] + 1).view(np.int64), 0)
+            if long_first:
+                first[0] = long_first
+            long_first = int(first[-1])
+            keep = 1 if long_first else int(size[-1])
+            first = np.repeat(first, size)
+            held = tuple(x[-keep:] for x in (token, cid, n, short))
+            size[-1] -= keep
+            if not size[-1]:
+                begin, size = begin[:-1], size[:-1]
+            if len(size):
+                yield rows(*(x[:-keep] for x in (token, cid, n, short)), begin, size, first[:-keep])
+        if held is not None:
+            yield rows(*held, np.zeros(1, np.int64), np.array([len(held[0])]), np.full(len(held[0]), long_first))
+
+    kind = "cids array<long>, sizes array<long>, list long, cid long, n long, short boolean"
+    return postings.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(run, kind)
+
+
+def _least_shared(n, m, percent: int):
+    """How many tokens in both prefixes sets of these sizes share at least if they link: what is behind the prefix that
+    ends first are T - 1 tokens. One less, for the rounding between two sizes."""
+    up = lambda x, by: F.floor((x + by - 1) / by)
+    return up(percent * (n + m), 100 + percent) - up(percent * F.greatest(n, m), 100)
+
+
+def _kept_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """list, cid, n, head (one of its classes), w (shingles of its classes): the lists that are searched. A class stays if
+    it shares enough tokens with others for any link that its lists allow."""
+    few = lists.where("cids is not null").groupBy("cids", "sizes").agg(F.count("*").alias("c"), F.max("short").alias("short"))
+    few = few.select(F.xxhash64("cids").alias("list"), "c", "short", F.element_at("sizes", 1).alias("low"), F.element_at("sizes", -1).alias("high"), F.explode(F.arrays_zip("cids", "sizes")).alias("own"))
+    few = few.select("list", "c", "short", "low", "high", F.col("own.cids").alias("cid"), F.col("own.sizes").alias("n"))
+    many = lists.where("list is not null").select("list", "cid", "n", "short")
+    seeds = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"x{i}") for i in (3, 5)]
+    each = many.groupBy("list").agg(*seeds, F.count("*").alias("m"), F.max("short").alias("short"), F.min("n").alias("low"), F.max("n").alias("high"))
+    each = each.groupBy("x3", "x5", "m").agg(F.min("list").alias("list"), F.count("*").alias("c"), F.max("short").alias("short"), F.min("low").alias("low"), F.max("high").alias("high"))
+    many = many.drop("short").join(each, "list").select("list", "c", "short", "low", "high", "cid", "n")
+    every = write_shared(few.union(many), "distinct-lists")
+    n = F.col("n")
+    ends = F.greatest("low", F.ceil(percent * n / 100)), F.least("high", F.floor(100 * n / percent))
+    least = F.least(*(_least_shared(n, x, percent) for x in ends))
+    able = every.groupBy("cid").agg(F.sum("c").alias("c"), F.min(least).alias("least")).where("c >= least").select("cid")
+    left = write_shared(every.where("short").select("list", "cid", "n").join(able, "cid"), "able-lists")
+    whole = left.groupBy("list").agg(F.min("cid").alias("head"), F.sum("n").alias("w"), F.count("*").alias("m")).where("m > 1").drop("m")
+    return write_shared(left.join(whole, "list").select("list", "cid", "n", "head", "w"), "kept-lists")
 
 
 def _filter_words(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
@@ -209,100 +343,136 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(roots.select("node", F.col("node").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Rows come sorted by b; each b searches the a's of its batch."""
+def _sets(docs: DataFrame, words: int, taken: frozenset[int], bits: int, wanted) -> DataFrame:
+    """(cid, tokens) of the classes that the filter lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            groups: dict[int, list[int]] = defaultdict(list)
-            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, x in enumerate(b):
-                groups[x].append(i)
-            left, firsts = list(_sets(batch.column(1), words)), [own[0] for own in groups.values()]
-            right = list(_sets(batch.column(3).take(pa.array(firsts)), words))
-            out_a, out_b = [], []
-            for (x, own), query in zip(groups.items(), right):
-                for i in DivideSkip([left[i] for i in own]).search(query, percent).tolist():
-                    out_a.append(a[own[i]])
-                    out_b.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id."""
+            cids, tokens = [], []
+            data, offsets = text_view(batch.column(1))
+            for low, high in steps(offsets):
+                at = offsets[low : high + 1]
+                for s in shingles(*word_hashes(data[at[0] : at[-1]], at - at[0]), words):
+                    cid = _class_of(s, taken, bits)[0] if len(s) else None
+                    place = (cid or 0) & ((1 << FILTER_BITS) - 1)
+                    if len(s) and cid not in known and wanted.value[place >> 6] >> (place & 63) & 1:
+                        if len(known) == REMEMBERED:
+                            known.clear()
+                        known.add(cid)
+                        cids.append(cid)
+                        tokens.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(tokens, pa.binary())], ["cid", "tokens"])
+
+    return docs.select("id", "text").mapInArrow(run, "cid long, tokens binary").dropDuplicates(["cid"])
+
+
+def _searched(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the tasks' forests. ``tasks``: task, cid, query, member, label; rows of a task go to one worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = forest(rows, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            *scalars, tokens = batch.columns
+            for key, *row, own in zip(*(x.to_pylist() for x in scalars), tokens):
+                if key != task:
+                    if len(rows) > 1:
+                        yield links()
+                    task, rows = key, []
+                rows.append((*row, np.frombuffer(own.as_buffer(), np.uint64)))
+        if len(rows) > 1:
+            yield links()
+
+    rows = tasks.join(sets, "cid").select("task", "cid", "query", "member", "label", "tokens")
+    return write_shared(rows.repartition("task").sortWithinPartitions("task", "cid").mapInArrow(run, "a long, b long"), "links")
+
+
+def _units(kept: DataFrame, unit_shingles: int) -> DataFrame:
+    """unit, cid, n, s (in how many lists), w (shingles of the unit). ``kept``: list, cid, n, head, w of the lists."""
+    comps = write_shared(components(kept.select(F.col("cid").alias("a"), F.col("head").alias("b"))), "families")
+    members = kept.groupBy("cid", "n").agg(F.count("*").alias("s")).join(comps.select(F.col("node").alias("cid"), F.col("comp").alias("unit")), "cid")
+    members = write_shared(members, "families-of-classes")
+    sizes = members.groupBy("unit").agg(F.sum("n").alias("w"))
+    work = F.col("w") * (1 + F.col("w") / unit_shingles)
+    heads = kept.where("cid = head").select("list", F.col("head").alias("cid"), work.alias("work")).join(members.select("cid", "unit"), "cid")
+    parted = heads.groupBy("unit").agg(F.sum("work").alias("in_lists")).join(sizes.where(F.col("w") > unit_shingles), "unit").where(F.col("in_lists") < work)
+    parted = write_shared(parted.select("unit"), "parted-families")
+    whole = members.join(parted, "unit", "left_anti").join(sizes, "unit").select(F.xxhash64(F.lit(1), "unit").alias("unit"), "cid", "n", "s", "w")
+    cids = members.join(parted, "unit", "left_semi").select("cid")
+    lists = kept.join(cids, "cid", "left_semi").select(F.xxhash64(F.lit(2), "list").alias("unit"), "cid", "n", F.lit(1).cast("long").alias("s"), "w")
+    return write_shared(whole.union(lists), "units")
+
+
+def _links(kept: DataFrame, sets: DataFrame, percent: int, unit_shingles: int, leaders: int) -> DataFrame:
+    """Links that connect all that is connected; ``kept``: list, cid, n, head, w."""
+    units = _units(kept, unit_shingles)
+    yes, no = F.lit(True), F.lit(False)
+    small = units.where(F.col("w") <= unit_shingles)
+    links = _searched(small.select(F.col("unit").alias("task"), "cid", yes.alias("query"), yes.alias("member"), F.col("cid").alias("label")), sets, percent)
+    large = units.where(F.col("w") > unit_shingles)
+    if large.isEmpty():
+        return links
+    each = max(unit_shingles // 2, 1)
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    large = write_shared(large.withColumn("blocks", F.ceil(F.col("w") / each)), "large-units")
+    outside, before, found = large, None, None
+    while True:
+        salt = F.pmod(F.xxhash64(F.lit(13), "cid"), F.lit(leaders))
+        lead = outside.groupBy("unit", salt.alias("salt")).agg(F.max(F.struct("s", "cid")).alias("own"), F.max("blocks").alias("blocks"))
+        lead = lead.select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("own.cid").alias("cid"), yes.alias("query"), no.alias("member"))
+        rows = large.select("unit", block.alias("block"), "cid", no.alias("query"), yes.alias("member")).union(lead)
+        more = _searched(rows.select(F.xxhash64("unit", "block").alias("task"), "cid", "query", "member", F.col("cid").alias("label")), sets, percent)
+        found = more if found is None else found.union(more)
+        comps = components(found).select(F.col("node").alias("cid"), "comp")
+        placed = write_shared(large.join(comps, "cid", "left").withColumn("label", F.coalesce("comp", "cid")).drop("comp"), "placed")
+        main = placed.groupBy("unit", "label").agg(F.count("*").alias("size")).groupBy("unit").agg(F.max(F.struct("size", "label")).alias("main"))
+        outside = write_shared(placed.join(main.select("unit", F.col("main.label").alias("main")), "unit").where("label <> main").drop("main"), "outside")
+        now = outside.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not now:
+            return links.union(found)
+        if now <= each or before is not None and 2 * now > before:
+            break
+        before = now
+    asked = outside.groupBy("unit").agg(F.ceil(F.sum("n") / each).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(17), "cid"), F.col("parts"))
+    queries = outside.join(asked, "unit").select("unit", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "cid", yes.alias("query"), no.alias("member"), "label")
+    members = placed.join(asked, "unit").select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), block.alias("block"), "cid", no.alias("query"), yes.alias("member"), "label")
+    rows = queries.union(members).select(F.xxhash64("unit", "part", "block").alias("task"), "cid", "query", "member", "label")
+    return links.union(found).union(_searched(rows, sets, percent))
+
+
+def near_duplicates(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", unit_shingles: int = UNIT_SHINGLES, leaders: int = LEADERS, class_bits: int = 64) -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, component_id. ``class_bits``: of the numbers of classes, fewer in tests."""
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seed = 0
+    taken: frozenset[int] = frozenset()
     while True:
-        rows = write_shared(_profiles(docs, words, seed), "profiles")
+        rows = write_shared(_profiles(docs, words, taken, class_bits), "profiles")
         own = rows.where("part is null").select("id", "n", "cid", "c2")
         classes = write_shared(own.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.min("c2").alias("low"), F.max("c2").alias("high")), "classes")
-        if classes.where("low <> high").isEmpty():
+        shared = classes.where("low <> high").select("cid").collect()  # about n^2 / 2^65 of n classes
+        if not shared:
             break
-        seed += 1  # two sets share the 64-bit class number: number them anew
+        taken |= {r.cid for r in shared}
     levels = spark.sparkContext.broadcast(_frequency_order(rows.where("part is not null").select("part", "counts")))
-    every = write_shared(_postings(docs, words, percent, seed, levels), "all-postings")
-    shared = every.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high")
-    shared = write_shared(shared.select("token"), "shared-tokens")
-    lists = write_shared(every.join(shared, "token").distinct(), "postings")
-
-    wanted = write_shared(lists.select("cid").distinct().join(classes.select("cid", "rep"), "cid").withColumn("key", F.xxhash64("rep")), "wanted")
-    words_table = write_shared(_filter_words(wanted, "key"), "filter")
-    keyed = docs.withColumn("key", F.xxhash64("id")).withColumn("place", F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
-    passed = keyed.join(F.broadcast(words_table), F.shiftright("place", 6) == F.col("word")).where(F.expr("(bits & shiftleft(1L, cast(place & 63 as int))) <> 0"))
-    texts = passed.select("id", "text").join(wanted.select(F.col("rep").alias("id"), "cid"), "id").select("cid", "text")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # an id may have other rows with other texts
-            fit = [len(s) > 0 and _class_of(s, seed)[0] == c for s, c in zip(_sets(batch.column(1), words), batch.column(0).to_pylist())]
-            yield batch.filter(pa.array(fit, pa.bool_()))
-
-    texts = write_shared(texts.mapInArrow(same, "cid long, text string"), "texts")
-
-    lead = write_shared(lists.groupBy("token").agg(F.min("cid").alias("b"), F.min_by("n", "cid").alias("m")), "leaders")
-    links = None
-    n_lists = lists.count()
-    for turn in range(MOST_ROUNDS + 1):
-        alike = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
-        if turn == 0:
-            pairs = lists.join(lead, "token").where((F.col("cid") != F.col("b")) & alike).select(F.col("cid").alias("a"), "b").distinct()
-        else:
-            comps = write_shared(components(links), "components")
-            sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-            comps_sized = comps.join(sizes, "comp").select(F.col("node").alias("cid"), "comp", "size")
-            placed = lists.join(comps_sized, "cid", "left").select("token", "cid", "n", F.coalesce("comp", "cid").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
-            placed = write_shared(placed, "placed")
-            tokens = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("size", "comp")).alias("main"), F.count("*").alias("all"))
-            tokens = write_shared(tokens.where("low <> high").select("token", F.col("main.comp").alias("main"), "all"), "live")
-            open_lists = write_shared(placed.join(tokens, "token"), "open-lists")
-            outside = open_lists.where("comp <> main")
-            work = outside.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
-            if not work:
-                break
-            if work > FEW_PAIRS * n_lists and turn < MOST_ROUNDS:
-                salt = F.xxhash64("cid", F.lit(turn))
-                lead = write_shared(open_lists.groupBy("token").agg(F.min_by("cid", salt).alias("b"), F.min_by("n", salt).alias("m"), F.min_by("comp", salt).alias("lead_comp")), "leaders")
-                pairs = open_lists.join(lead, "token").where((F.col("comp") != F.col("lead_comp")) & alike).select(F.col("cid").alias("a"), "b").distinct()
-            else:
-                right = open_lists.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-                pairs = outside.join(right, "token").where((F.col("comp") != F.col("comp_b")) & alike)
-                pairs = pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
-                turn = MOST_ROUNDS
-        found = write_shared(_verified(write_shared(pairs, "pairs"), texts, words, percent), "links")
-        links = found if links is None else links.union(found)
-        if turn == MOST_ROUNDS:
-            break
+    lists = write_shared(_lists(_postings(docs, words, percent, taken, class_bits, levels), percent), "lists")
+    kept = _kept_lists(lists, percent)
+
+    wanted = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for word, found in _filter_words(kept, "cid").collect():
+        wanted[word] = np.array([found], np.int64).view(np.uint64)[0]
+    sets = write_shared(_sets(docs, words, taken, class_bits, spark.sparkContext.broadcast([int(x) for x in wanted])), "sets")
+    links = _links(kept, sets, percent, unit_shingles, leaders)
+
     comps = write_shared(components(links), "components")
     joined = write_shared(classes.select("cid", "rep").join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp")), "class-components")
     least = write_shared(joined.groupBy("comp").agg(F.min("rep").alias("component_id")), "component-ids")
     numbered = write_shared(joined.join(least, "comp").select("cid", "component_id"), "class-ids")
-    out = own.join(numbered, "cid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out
+    return own.join(numbered, "cid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,9 +118,20 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return np.multiply.accumulate(out) if n else out
 
 
+def _drawn(keys: np.ndarray) -> np.ndarray:
+    """An unrelated number for each byte at each place of a word. Sums of powers of a base would not do: modulo 2^64 there
+    are words (Thue-Morse) whose sums are equal for any base."""
+    return mix(keys.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x3C79AC492BA7B653))
+
+
+#: Of the first 64 places.
+_BYTE_AT_PLACE = _drawn(np.arange(64 << 8))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in order, and the number of words of
-    each row. Words end where rows end. ``space``: other bytes that part words."""
+    each row: the mixed sum of what is drawn for each byte at its place. Words end where rows end. ``space``: other bytes
+    that part words."""
     n_rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n_rows, np.int64)
@@ -137,10 +148,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0, space: np.
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(n_rows, np.int64)
     size = end - begin
-    table = powers(int(size.max()))
     at = np.flatnonzero(black)
     place = at - np.repeat(begin, size)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * table[place], dtype=np.uint64)])
+    key = (place << 8) | LOWER[data[at]]
+    drawn = _BYTE_AT_PLACE[np.minimum(key, len(_BYTE_AT_PLACE) - 1)]
+    far = key >= len(_BYTE_AT_PLACE)
+    if far.any():
+        drawn[far] = _drawn(key[far])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(drawn, dtype=np.uint64)])
     ends = np.cumsum(size)
     words = mix((total[ends] - total[ends - size]) ^ np.uint64((seed * _BASE) & (2**64 - 1)))
     return words, np.diff(np.searchsorted(begin, offsets))

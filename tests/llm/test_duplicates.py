@@ -61,9 +61,9 @@ def brute_jaccard(rows, k, percent):
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("k,percent,rounds", [(3, 90, 4), (3, 60, 1), (2, 40, 4)])
-def test_jaccard_join(spark, rng, monkeypatch, k, percent, rounds):
-    monkeypatch.setattr(jaccard_join, "MOST_ROUNDS", rounds)
+@pytest.mark.parametrize("k,percent,sizes", [(3, 90, {}), (3, 60, {"unit_shingles": 60, "leaders": 2}), (2, 40, {"unit_shingles": 200, "leaders": 1}), (3, 80, {"class_bits": 3})])
+def test_jaccard_join(spark, rng, k, percent, sizes):
+    """Also with units that are dealt to blocks, and with classes whose numbers clash."""
     words = [f"w{i}" for i in range(25)]
     base = [rng.choice(words) for _ in range(25)]
     rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "a b"), (6, "é É"), (7, " \n\t ")]
@@ -73,14 +73,39 @@ def test_jaccard_join(spark, rng, monkeypatch, k, percent, rounds):
             doc[rng.randrange(len(doc))] = rng.choice(words)
         rows.append((100 - i, " ".join(doc)))
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, cid long")
-    got = sorted(map(tuple, jaccard_join.near_duplicates(df, k, percent).collect()))
+    got = sorted(map(tuple, jaccard_join.near_duplicates(df, k, percent, **sizes).collect()))
     assert got == brute_jaccard(rows, k, percent)
-    if rounds == 4 and k == 3:
+    if not sizes:
         keep = {d for d, _, c in got if d == c}
         assert {r.doc_id for r in jaccard_join.keep_one(df, k, percent).collect()} == keep
         assert jaccard_join.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_jaccard_join_of_words_with_equal_sums(spark):
+    """Thue-Morse words and their complements: sums of powers of a base modulo 2^64 can't tell them apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"unit_shingles": 3000, "leaders": 4}])
+def test_jaccard_join_of_a_large_near_group(spark, rng, sizes):
+    """Copies of one text with a changed word or three, repeated rows, null ids and a very long text."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for i in range(700):
+        doc = list(base)
+        for _ in range(rng.randrange(4)):
+            doc[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(doc)))
+    rows += [(5000, " ".join(base * 400)), (5001, " ".join(base * 401))] + rows[:3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.near_duplicates(df, 3, 90, **sizes).collect())) == brute_jaccard(rows, 3, 90)
+    null = spark.createDataFrame([(None, "a b c d"), (None, "A b c d"), (7, "a b c D"), (None, "p q r")], "doc_id long, text string")
+    assert sorted(map(str, (r.component_id for r in jaccard_join.near_duplicates(null, 3, 90).collect()))) == ["7", "7", "7", "None"]
+
+
 def test_divide_skip(rng):
     universe = np.sort(np.array([rng.getrandbits(63) for _ in range(60)], np.uint64))
     for _ in range(60):
@@ -91,6 +116,14 @@ def test_divide_skip(rng):
         assert jaccard_join.DivideSkip(sets).search(query, 50).tolist() == want
 
 
+def test_merged_counts(rng):
+    for n in (1, 5, 80):
+        lists = [np.array(sorted(rng.sample(range(100), rng.randint(1, 40)))) for _ in range(n)]
+        want = Counter(x for own in lists for x in own.tolist())
+        found, count = jaccard_join.merged_counts(lists)
+        assert dict(zip(found.tolist(), count.tolist())) == want and found.tolist() == sorted(want)
+
+
 def test_components(spark, rng):
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(200 + i, 201 + i) for i in range(30)]
     got = {r.node: r.comp for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
