@@ -225,8 +225,8 @@ def test_line_dedup(spark, rng):
     rows = [(i, None if i == 4 else "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).withColumn("removed", F.lit(1))
     want = brute_lines(rows)
-    assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df).collect()} == want
-    kept = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df, max_edits=1).collect()} == want
+    kept = {r.doc_id: r for r in line_dedup.dedup_lines(df, max_edits=1).collect()}
     for i, t in rows:
         left = [x for k, x in enumerate((t or "").split("\n")) if k not in want.get(i, [])]
         if i in want and not any(x.strip() for x in left):
@@ -236,7 +236,7 @@ def test_line_dedup(spark, rng):
     assert line_dedup.removed_lines(df.limit(0)).count() == 0
 
 
-def test_within_edits(spark, rng):
+def test_within_edits(spark, rng, monkeypatch):
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -247,9 +247,11 @@ def test_within_edits(spark, rng):
 
     pairs = [("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))) for _ in range(150)]
     df = spark.createDataFrame(pairs, "a string, b string")
-    for e in (1, 2, 3):
-        got = df.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), e).alias("ok")).collect()
-        assert all(r.ok == (distance(r.a, r.b) <= e) for r in got)
+    for most in (2000, 0):
+        monkeypatch.setattr(line_dedup, "BUILT_IN", most)
+        for e in (1, 2, 3):
+            got = df.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), e).alias("ok")).collect()
+            assert all(r.ok == (distance(r.a, r.b) <= e) for r in got)
 
 
 def edit_distance(a, b):
@@ -261,15 +263,15 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def brute_budget_lines(rows, per):
-    """Numbers of the removed lines of each row; rows in order of their ids."""
+def brute_budget_lines(rows, per, most=99, least=line_dedup.LEAST_NEAR):
+    """Numbers of the removed lines of each row; rows in order of their ids. Of rows with equal ids the first one is whole."""
     first, near, out = {}, set(), []
     for i, (_, t) in enumerate(rows):
         for k, x in enumerate((t or "").split("\n")):
             first.setdefault(x.strip(" \t\r\x0b\x0c"), (i, k))
-    known = sorted((x for x in first if len(x) >= line_dedup.LEAST_NEAR), key=first.get)
+    known = sorted((x for x in first if len(x) >= least), key=first.get)
     for j, x in enumerate(known):
-        if any(abs(len(x) - len(y)) <= (e := max(1, min(len(x), len(y)) // per)) and edit_distance(x, y) <= e for y in known[:j]):
+        if any(abs(len(x) - len(y)) <= (e := min(most, max(1, min(len(x), len(y)) // per))) and edit_distance(x, y) <= e for y in known[:j]):
             near.add(x)
     for i, (_, t) in enumerate(rows):
         lines = [x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")]
@@ -292,7 +294,50 @@ def test_line_dedup_budgets(spark, rng, per):
     rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 3)))) for i in range(60)]
     want = {i: gone for (i, _), gone in zip(rows, brute_budget_lines(rows, per)) if gone}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df, per=per).collect()} == want
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df, per=per, max_edits=4).collect()} == want
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+@pytest.mark.parametrize("crowd", [99, 2])
+def test_line_dedup_thresholds(spark, rng, monkeypatch, edits, crowd):
+    """Lines of one character and more, within a number of edits that depends on no length (from as many characters as edits on);
+    with crowd = 2 nearly all keys are of larger groups, and lines are hot that are a tenth of all."""
+    monkeypatch.setattr(line_dedup, "HOT_GROUP", crowd)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 3)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 10)
+    base = ["ab", "abcdé", "the cat sat", "the cat sat on the", "a longer line of thirty letters or", "x", "0123456789" * 6]
+
+    def line():
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            k, o = rng.randrange(len(x) + 1), rng.random()
+            x[k : k + (o < 0.7)] = [] if 0.4 < o < 0.7 else [rng.choice("xyz0 ")]
+        return "".join(x)
+
+    rows = [(i, "\n".join(rng.choice([line(), line(), "the very common line"]) for _ in range(rng.randint(0, 4)))) for i in range(70)]
+    want = {i: gone for (i, _), gone in zip(rows, brute_budget_lines(rows, 1, edits, 1)) if gone}
+    twice = [(i, t) for i, t in rows if i % 9 == 0]
+    df = spark.createDataFrame(rows + twice, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in line_dedup.removed_lines(df, per=1, max_edits=edits, least=1).collect():
+        got[r.doc_id].append(list(r.removed))
+    for i, t in rows:
+        every = [k for k, x in enumerate(t.split("\n")) if x.strip()]
+        copies = [every] if i % 9 == 0 and every else []
+        assert sorted(got[i]) == sorted([x for x in [want.get(i)] if x] + copies), i
+
+
+def test_line_dedup_of_a_large_group(spark, rng):
+    """One template with a number in it, among it a very long line, a line of a third of all, and columns with names of its own."""
+    long = "long " * 30_000
+    lines = [f"entry {rng.randrange(10**5):05d} of the journal that every document carries, word for word" for _ in range(400)] + ["the most common line of all"] * 200
+    rng.shuffle(lines)
+    rows = [(i, x, i) for i, x in enumerate(lines)] + [(900, long + "x", 1), (901, long, 1), (902, "", 1), (903, None, 1)]
+    want = {i: gone for (i, *_), gone in zip(rows, brute_budget_lines([(i, t) for i, t, _ in rows[:-4]], 50, 2)) if gone} | {901: [0]}
+    df = spark.createDataFrame(rows, "doc_id long, gone_at string, own_lines int")
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df, text_col="gone_at").collect()} == want
+    kept = line_dedup.dedup_lines(df, text_col="gone_at")
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - set(want)
 
 
 def test_line_dedup_of_repeated_rows_and_ids(spark):
