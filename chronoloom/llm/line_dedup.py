@@ -46,8 +46,10 @@ BUILT_IN = 2000
 BLANKS = " \t\r\x0b\x0c"
 
 
-def trimmed_lines(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
+def trimmed(line: Column) -> Column:
+    """The built-in function looks at all characters, so it is called only where there is something to trim."""
+    ends = [x for c in BLANKS for x in (line.startswith(c), line.endswith(c))]
+    return F.when(reduce(lambda a, b: a | b, ends), F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
 def budget(n: Column, per: int, max_edits: int, least: int) -> Column:
@@ -84,20 +86,34 @@ def key_plan(edits: int, longer: int, parts: int) -> list[tuple[int, tuple[tuple
     return plan
 
 
-def line_keys(line: Column, n_chars: Column, per: int, max_edits: int, least: int, times: int = 1) -> tuple[list[Column], list[Column]]:
-    """Keys of a line: those that it is found by (and that lines of its length are probed for), and those by which it looks for
-    shorter or moved ones. ``times``: so many times the least number of segments."""
-    own, probes = [], []
-    for edits in range(1, max_edits + 1):
-        parts = (edits + 1) * times
-        for longer in range(edits + 1):
-            n = n_chars - longer
-            begin = [F.call_function("div", n * p, F.lit(parts)).cast("int") for p in range(parts)] + [n]
-            for number, runs in key_plan(edits, longer, parts):
-                pieces = [line.substr(F.greatest(begin[a] + (1 + move), F.lit(1)) if move < 0 else begin[a] + (1 + move), begin[b] - begin[a]) for a, b, move in runs]
-                key = F.when(budget(n, per, max_edits, least) == edits, F.xxhash64(F.lit(edits * 65536 + number), n, *pieces))
-                (probes if longer or any(move for *_, move in runs) else own).append(key)
-    return own, probes
+def line_keys(df: DataFrame, per: int, max_edits: int, least: int, times: int = 1) -> tuple[DataFrame, int]:
+    """h, g, keys of the lines of ``df`` (h, g, line). Keys of a line: first those that it is found by (and that lines of its length are probed for), so many as is told, then
+    those by which it looks for shorter or moved ones. ``times``: so many times the least number of segments.
+    Substrings are taken from UTF-16, where a place is found at once; lines with characters of two units, and the few lines
+    that are split anew, have theirs taken from the characters."""
+    rows = df.select("h", "g", "line", F.length("line").alias("n"), F.encode("line", "UTF-16BE").alias("units"))
+    line, n_chars, units = F.col("line"), F.col("n"), F.col("units")
+    of_units = lambda begin, size: F.substring(units, 2 * begin + 1, 2 * size)
+    of_chars = lambda begin, size: F.encode(line.substr(begin + 1, size), "UTF-16BE")
+
+    def keys(piece) -> tuple[list[Column], list[Column]]:
+        own, probes = [], []
+        for edits in range(1, max_edits + 1):
+            parts = (edits + 1) * times
+            for longer in range(edits + 1):
+                n = n_chars - longer
+                begin = [F.call_function("div", n * p, F.lit(parts)).cast("int") for p in range(parts)] + [n]
+                for number, runs in key_plan(edits, longer, parts):
+                    pieces = [piece(F.greatest(begin[a] + move, F.lit(0)) if move < 0 else begin[a] + move, begin[b] - begin[a]) for a, b, move in runs]
+                    key = F.when(budget(n, per, max_edits, least) == edits, F.xxhash64(F.lit(edits * 65536 + number), n, *pieces))
+                    (probes if longer or any(move for *_, move in runs) else own).append(key)
+        return own, probes
+
+    own, probes = keys(of_chars)
+    found = F.array(*own, *probes)
+    if times == 1:
+        found = F.when(F.octet_length(units) == 2 * n_chars, F.array(*(k for x in keys(of_units) for k in x))).otherwise(found)
+    return rows.select("h", "g", found.alias("keys")), len(own)
 
 
 def within_edits(a: Column, b: Column, max_edits: int | Column) -> Column:
@@ -127,7 +143,7 @@ def within_edits(a: Column, b: Column, max_edits: int | Column) -> Column:
 def _places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, row (hash of the text), at (line number from 0), line, h, g (hashes of the line): lines that aren't blank."""
     lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    lines = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    lines = lines.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
     return lines.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), F.col("line")).alias("g"))
 
 
@@ -190,13 +206,13 @@ class _Near:
 
 def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str, per: int, max_edits: int, least: int) -> DataFrame:
     """h, g of the lines that have an earlier neighbour within the budget. ``first``: h, g, place, n (how often) of each line."""
+    df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # what the JVM compiles; larger plans are run in smaller methods
     places = _places(df, id_col, text_col).where(F.length("line") >= least)
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = write_shared(first.where(F.col("n") > max(total / HOT_SHARE, 1)).select("h", "g", F.col("place").alias("hot_place")), "hot-lines")
     lines = places.join(F.broadcast(hot), ["h", "g"], "left").where(F.col("hot_place").isNull() | _place().eqNullSafe(F.col("hot_place")))
-    own, probes = line_keys(F.col("line"), F.col("n"), per, max_edits, least)
-    keys = write_shared(lines.withColumn("n", F.length("line")).select("h", "g", F.array(*own, *probes).alias("keys")), "keys")
-    shared = _shared_keys(keys, len(own))
+    keys, n_own = line_keys(lines, per, max_edits, least)
+    shared = _shared_keys(write_shared(keys, "keys"), n_own)
     wanted = shared.select("h", "g").distinct()
     wanted = write_shared(wanted.join(first.select("h", "g", "place"), ["h", "g"]), "wanted-lines")
     texts = _let_through(places, "h", wanted).select("h", "g", _place().alias("place"), F.length("line").alias("n"), "line").join(wanted, ["h", "g", "place"])
@@ -207,9 +223,8 @@ def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str, per:
     if many.isEmpty():
         return settled
     if max_edits <= 2:  # more edits have too many ways to leave out segments
-        own, probes = line_keys(F.col("line"), F.col("n"), per, max_edits, least, 2)
-        keys = texts.join(many, ["h", "g"], "left_semi").select("h", "g", F.array(*own, *probes).alias("keys"))
-        shared = _shared_keys(write_shared(keys, "keys"), len(own))
+        keys, n_own = line_keys(texts.join(many, ["h", "g"], "left_semi"), per, max_edits, least, 2)
+        shared = _shared_keys(write_shared(keys, "keys"), n_own)
         settled = write_shared(settled.union(look.of_pairs(shared)).distinct(), "near-lines")
     return settled.union(look.of_blocks(shared, settled)).distinct()
 
@@ -230,7 +245,7 @@ def _with_removed(df: DataFrame, id_col: str, text_col: str, *budgets: int) -> D
     null if none does) and gone_near."""
     key = lambda id_, row: F.xxhash64(F.lit(7), id_, row).alias("own_key")
     gone = _first_removed(df, id_col, text_col, *budgets).select("row", key(F.col("id"), F.col("row")), F.col("removed").alias("gone_at"), F.col("n_near").alias("gone_near"))
-    numbers = F.filter(F.transform(trimmed_lines(F.col(text_col)), lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    numbers = F.array_compact(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x, i: F.when(trimmed(x) != "", i)))
     rows = df.select(*df.columns, numbers.alias("own_lines"), F.xxhash64(text_col).alias("own_row"))
     rows = rows.select(*df.columns, "own_lines", "own_row", key(F.col(id_col), F.col("own_row")))
     copy = F.row_number().over(Window.partitionBy("own_row", "own_key").orderBy(F.lit(0)))
