@@ -6,8 +6,9 @@ where the item can be. Each place is verified with Myers' bit-parallel distance
 the text.
 
 Texts and items are compared lower-cased with each run of white space as one space. Defined cases: a null or empty text
-matches nothing; null or blank items are left out; items that repeat are reported under each of their ids; other columns
-are not read. Texts are read whole; there is no shuffle. Items are taken in blocks of BLOCK_CHARS characters as
+matches nothing; null or blank items are left out; items that repeat are reported under each of their ids, of any type
+and null ones too; rows that repeat, and null ids of documents, are reported each; other columns are not read. Texts are
+read whole, a very long one by one task in time that grows with its length; there is no shuffle. Items are taken in blocks of BLOCK_CHARS characters as
 expected, so the automaton that is sent to the executors has that bound at any size of the benchmark.
 """
 
@@ -20,11 +21,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import small_batches
 
 EDIT_PERCENT, BLOCK_CHARS = 8, 1_000_000
-_FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
 
 
 def folded(text: str | None) -> str:
@@ -89,7 +90,7 @@ class Matcher:
         return self.masks[at]
 
     def find(self, text: str) -> list[dict]:
-        """The items in this folded text and their least edits."""
+        """The items in this folded text and their least edits, in no order."""
         if not text or not self.items:
             return []
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -112,24 +113,27 @@ class Matcher:
                     best = min(best, least_edits(item, self._masks(at), text, max(low, 0), high))
             if best <= k:
                 out += [{"item_id": i, "edits": best} for i in ids]
-        return sorted(out, key=lambda x: x["item_id"])
+        return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of BLOCK_CHARS characters as expected."""
     small_batches(benchmark.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-max(chars, 1) // BLOCK_CHARS)
     for block in range(blocks):
-        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator()]
+        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toLocalIterator()]
 
 
 def benchmark_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
-    """One row per row of ``df``: id and ``matches``, an array of (item_id, edits)."""
+    """One row per row of ``df``: id and ``matches``, an array of (item_id, edits) in order, null ids first."""
     spark = df.sparkSession
-    kind = dict(df.dtypes)[id_col]
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr("cast(array() as array<struct<item_id:bigint,edits:int>>)").alias("matches"))
+    kind, item_kind = dict(df.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+    found_kind = f"array<struct<item_id:{item_kind},edits:int>>"
+    arrow = to_arrow_type(benchmark.schema[item_col].dataType)
+    found_arrow = pa.list_(pa.struct([("item_id", arrow), ("edits", pa.int32())]))
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr(f"cast(array() as {found_kind})").alias("matches"))
     for own in _blocks(benchmark, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(own)
 
@@ -137,10 +141,10 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             matcher = Matcher(sent.value, percent)
             for batch in batches:
                 found = [before + matcher.find(folded(text)) for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _FOUND)], ["id", "text", "matches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, found_arrow)], ["id", "text", "matches"])
 
-        out = out.mapInArrow(run, f"id {kind}, text string, matches array<struct<item_id:bigint,edits:int>>")
-    return out.select(F.col("id").alias(id_col), "matches")
+        out = out.mapInArrow(run, f"id {kind}, text string, matches {found_kind}")
+    return out.select(F.col("id").alias(id_col), F.sort_array("matches").alias("matches"))
 
 
 def drop_matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:

@@ -94,10 +94,11 @@ class Centroids:
 
 
 def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang") -> Centroids:
-    """``training``: labelled rows. The sample takes as many rows of each language, by a hash of the text."""
+    """``training``: labelled rows. The sample takes as many different texts of each language, by a hash of the text."""
     small_batches(training.sparkSession)
     rows = training.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    have = {r[0]: r[1] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_TRAINING_ROWS).collect()}
+    texts = F.approx_count_distinct(F.xxhash64(text_col)).alias("n")
+    have = {r[0]: r[1] for r in rows.groupBy(label_col).agg(texts).collect()}  # a row for each language
     if not have:
         return Centroids([], np.zeros((0, DIMENSIONS), np.float32))
     each = MOST_TRAINING_ROWS / len(have)
@@ -105,7 +106,7 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     share = F.lit(None).cast("double")
     for label, n in have.items():
         share = F.when(F.col(label_col) == label, float(min(1.0, each / n))).otherwise(share)
-    sample = rows.where(draw < share)
+    sample = rows.where(draw < share).dropDuplicates([text_col, label_col])  # copies of a text come together, and teach once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

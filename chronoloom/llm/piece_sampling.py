@@ -12,7 +12,8 @@ Characters that aren't in the model, U+2581 itself and pieces of several words a
 back every text exactly (no normalisation is applied; one space is put in front, as the model does, and taken off).
 
 Defined cases: a null text has null pieces and decodes to null; an empty text has the one piece of the leading space;
-a null key counts as 0; other columns are not read. Texts are read whole.
+a null key counts as 0, and rows that repeat have the same pieces; other columns are not read; ``decode`` replaces a
+column that has the name of its result. Texts are read whole, and words of any length, in one task each.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from .shared import mix, small_batches, steps
 
 SPACE = "▁"
 RANK_OFFSET, BYTE_WEIGHT = 10.0, 1e-6
-#: A longer run is cut here, so that no product of weights leaves the range of a double.
-LONGEST_WORD = 44
 _WORDS = re.compile(f"{SPACE}?[^{SPACE}\n]+|\n|{SPACE}+(?={SPACE}[^{SPACE}\n])|{SPACE}+")
 
 
@@ -71,15 +70,17 @@ class Lattice:
         """Forward filtering of all words at once, a character at a time. Of the states (prefixes) in order: keys of the
         incoming pieces (state << 32 | share of the forward weight up to and with that piece, in 2^-31), the pieces
         (below 0: the character in bytes) and the states before (-1: the word's start); and each word's last state.
+        A forward weight is kept with an exponent of its own, so words of any length stay in the range of a double.
         Shares are whole numbers that don't depend on the other words, so draws don't either."""
         size = np.array([len(w) for w in words], np.int64)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         low = np.cumsum(size) - size  # state of a word's first n characters: low + n - 1
-        weights = np.zeros(len(code))
+        weights, power, whole = np.zeros(len(code)), np.zeros(len(code), np.int64), np.zeros(len(code))
         parts: list[tuple] = []
         for n in range(1, int(size.max(initial=0)) + 1):
             row = np.flatnonzero(size >= n)
             own, total, live, node = low[row] + n - 1, np.zeros(len(row)), np.arange(len(row)), np.zeros(len(row), np.int64)
+            scale = power[own - 1] if n > 1 else np.zeros(len(row), np.int64)  # that of the state before
             for k in range(1, min(n, self.longest) + 1):
                 key = node << 21 | code[own[live] - k + 1]
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -92,7 +93,7 @@ class Lattice:
                 if ends.any():
                     who, what = live[ends], piece[ends]
                     before = own[who] - k
-                    total[who] += (weights[before] if k < n else 1.0) * self.weight[what]
+                    total[who] += (np.ldexp(weights[before], power[before] - scale[who]) if k < n else np.ldexp(1.0, -scale[who])) * self.weight[what]
                     parts.append((own[who], total[who].copy(), what, before if k < n else np.full(len(who), -1)))
             letter = code[own]
             place = np.minimum(np.searchsorted(self.single, letter), len(self.single) - 1)
@@ -101,24 +102,22 @@ class Lattice:
                 before = own[who] - 1
                 total[who] += (weights[before] if n > 1 else 1.0) * BYTE_WEIGHT
                 parts.append((own[who], total[who].copy(), -1 - letter[who], before if n > 1 else np.full(len(who), -1)))
-            weights[own] = total
+            whole[own] = total
+            weights[own], more = np.frexp(total)
+            power[own] = scale + more
         if not parts:
             none = np.zeros(0, np.int64)
             return none, none, none, low
         state, partial, piece, before = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(state, kind="stable")
         state, piece, before = state[order], piece[order], before[order]
-        share = np.floor(partial[order] / weights[state] * (1 << 31)).astype(np.int64)
+        share = np.floor(partial[order] / whole[state] * (1 << 31)).astype(np.int64)
         share[np.append(state[1:] != state[:-1], True)] = 1 << 31
         return state << 32 | share, piece, before, low + size - 1
 
 
 def words_of(text: str) -> list[str]:
-    """Words of at most LONGEST_WORD characters."""
-    found = _WORDS.findall(text)
-    if max(map(len, found), default=0) <= LONGEST_WORD:
-        return found
-    return [word[i : i + LONGEST_WORD] for word in found for i in range(0, len(word), LONGEST_WORD)]
+    return _WORDS.findall(text)
 
 
 #: Stands for a U+2581 of the text while spaces are written with that symbol; a lone surrogate, which no text has.
@@ -235,10 +234,11 @@ def decode(df: DataFrame, path: str, pieces_col: str = "pieces", to: str = "text
         for batch in batches:
             at = batch.schema.get_field_index(pieces_col)
             texts = [own.decode(None if x is None else np.array(x, np.int32)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
+            kept = [i for i, c in enumerate(batch.schema.names) if c != to]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(texts, pa.string())], [*(batch.schema.names[i] for i in kept), to])
 
-    fields = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, `{to}` string")
+    fields = "".join(f"`{c}` {k}, " for c, k in df.dtypes if c != to)
+    return df.mapInArrow(run, f"{fields}`{to}` string")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,27 +30,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_WORK: list[str] = []
+class WorkTables(threading.local):
+    """The tables that are written in its ``with`` block, by this thread, so that they can be removed when nothing reads
+    them any more. Tables of others, and those written outside, aren't touched; they go at the end of the program."""
 
+    def __init__(self):
+        self.paths: list[str] = []
 
-def write_shared(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it. Lost executors lose nothing of it.
-    The table goes at the end of the program or, unless ``keep``, with ``release``."""
+    def __enter__(self) -> WorkTables:
+        _open_work().append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open_work().pop()
+
+    def release(self, spark: SparkSession) -> None:
+        """For callers who have written every result that still reads these tables."""
+        while self.paths:
+            _remove(spark, self.paths.pop())
+
+
+_OPEN = threading.local()
+
+
+def _open_work() -> list[WorkTables]:
+    if not hasattr(_OPEN, "stack"):
+        _OPEN.stack = []
+    return _OPEN.stack
+
+
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it. Lost executors lose nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    if not keep:
-        _WORK.append(path)
+    if _open_work():
+        _open_work()[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the work tables so far. For callers who have written every result that still reads them."""
-    while _WORK:
-        _remove(spark, _WORK.pop())
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

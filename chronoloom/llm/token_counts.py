@@ -4,12 +4,13 @@ For byte-pair encoding, a sequence of tokens is the encoding of its bytes exactl
 neighbours encodes to itself. So each prefix of a word has one last token that fits the encoding of what stands before
 it, and the count at a prefix is the count before that token plus one. Words share their prefixes' states.
 
-A document's *profile* has one signed byte for each character: the change of the token count when the prefix grows by
+A document's *profile* has a signed number of two bytes for each character: the change of the token count when the prefix grows by
 that character. Its running sum is the exact number of tokens of every prefix as the library would encode that prefix,
 so truncation and budget questions are answered from it without encoding again.
 
 Defined cases: a null text is empty (0 tokens, an empty profile); strings of special tokens inside a text are one token,
-as the library's default has it; other columns of the input are not read.
+as the library's default has it; rows that repeat, and null ids, are counted each; other columns of the input are not
+read. A very long text is counted whole, word by word; only its own profile grows with it.
 """
 
 from __future__ import annotations
@@ -33,12 +34,20 @@ _CONTRACTIONS = ("'re", "'ve", "'ll")
 #: The split pattern of byte-level BPE, for texts whose characters mean the same to Python's re.
 _WORDS = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:_|[^\w\s])+|\s+(?!\S)|\s+")
 _SPACES = re.compile(r"\s{2,}")
+#: Python takes these for white space too; the tokenizer's \s is Unicode's property White_Space, which they lack.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+#: A step of a profile.
+_STEP = np.dtype("<i2")
+
+
+def _is_space(text: str) -> bool:
+    return text.isspace() and not any(c in _NO_SPACE for c in text)
 
 
 def _plain(c: str) -> bool:
     """Whether Python's classes \\s, \\d and letters agree with Unicode's for this character."""
     kind = unicodedata.category(c)
-    return c not in "\x1c\x1d\x1e\x1f" and kind not in ("No", "Nl", "Mn", "Mc", "Me", "Pc", "Cn") or c == "_"
+    return c not in _NO_SPACE and kind not in ("No", "Nl", "Mn", "Mc", "Me", "Pc", "Cn") or c == "_"
 
 
 _UNUSUAL = re.compile("[^" + "".join(re.escape(chr(c)) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if _plain(chr(c))) + "]")
@@ -188,9 +197,7 @@ class PrefixCounter:
         if word in _CONTRACTIONS:  # a shorter prefix isn't a contraction: the apostrophe and the letter are two words
             counts[2] = counts[1] + (self._states(raw[1:2])[1] >> 20)
         changes = [b - a for a, b in zip(counts, counts[1:])]
-        if changes and (max(changes) > 127 or min(changes) < -128):
-            raise ValueError("a step of the token count is over one signed byte")
-        out = bytes([x & 255 for x in changes])
+        out = np.array(changes, _STEP).tobytes()
         if len(word) <= KEPT_WORD_LENGTH:
             self.words[word] = out
         return out
@@ -206,27 +213,27 @@ class PrefixCounter:
         parts = [get(w) or self.word(w) for w in words]
         if not _SPACES.search(text):
             return b"".join(parts)
-        out, at = np.frombuffer(b"".join(parts), np.int8).astype(np.int64), 0
+        out, at = np.frombuffer(b"".join(parts), _STEP).astype(np.int64), 0
         for a, b in zip(words, words[1:]):
             at += len(a)
-            if a.isspace() and b[0].isspace():  # a prefix that ends here is one run of spaces, longer by one
-                alone = int(np.frombuffer(self.word(a), np.int8).sum())
-                joined = int(np.frombuffer(self.word(a + b[0]), np.int8).sum())
+            if _is_space(a) and _is_space(b[0]):  # a prefix that ends here is one run of spaces, longer by one
+                alone = int(np.frombuffer(self.word(a), _STEP).sum())
+                joined = int(np.frombuffer(self.word(a + b[0]), _STEP).sum())
                 change = joined - alone - int(out[at])
                 out[at] += change
                 if at + 1 < len(out):
                     out[at + 1] -= change
-        return out.astype(np.int8).tobytes()
+        return out.astype(_STEP).tobytes()
 
     def profile(self, text: str) -> bytes:
-        """One signed byte for each character of the text."""
+        """A signed number of two bytes for each character of the text."""
         if not self.special_at or not any(s in text for s in self.special):
             return self._ordinary(text)
         out, low = [], 0
         for found in self.special_at.finditer(text):
             before = text[low : found.start()]
-            count = int(np.frombuffer(self._ordinary(before), np.int8).sum(dtype=np.int64))
-            with_it = np.frombuffer(self._ordinary(before + found[0]), np.int8).copy()
+            count = int(np.frombuffer(self._ordinary(before), _STEP).sum(dtype=np.int64))
+            with_it = np.frombuffer(self._ordinary(before + found[0]), _STEP).copy()
             with_it[-1] = count + 1 - int(with_it[:-1].sum(dtype=np.int64))
             out.append(with_it.tobytes())
             low = found.end()
@@ -236,12 +243,12 @@ class PrefixCounter:
 
 def tokens_at(profile: bytes, chars: int) -> int:
     """Tokens of the prefix of so many characters."""
-    return int(np.frombuffer(profile, np.int8)[:chars].sum(dtype=np.int64))
+    return int(np.frombuffer(profile, _STEP)[:chars].sum(dtype=np.int64))
 
 
 def chars_within(profile: bytes, budget: int) -> int:
     """Characters of the longest prefix of at most ``budget`` tokens."""
-    within = np.flatnonzero(np.cumsum(np.frombuffer(profile, np.int8), dtype=np.int64) <= budget)
+    within = np.flatnonzero(np.cumsum(np.frombuffer(profile, _STEP), dtype=np.int64) <= budget)
     return int(within[-1]) + 1 if len(within) else 0
 
 
@@ -268,8 +275,8 @@ def prefix_token_counts(df: DataFrame, path: str, budget: int, id_col: str = "do
                 text = text or ""
                 profiles.append(own.profile(text))
                 sizes.append(len(text.encode()))
-            counts = [int(np.frombuffer(p, np.int8).sum(dtype=np.int64)) for p in profiles]
-            within = [chars_within(p, budget) if n > budget else len(p) for p, n in zip(profiles, counts)]
+            counts = [int(np.frombuffer(p, _STEP).sum(dtype=np.int64)) for p in profiles]
+            within = [chars_within(p, budget) if n > budget else len(p) // _STEP.itemsize for p, n in zip(profiles, counts)]
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(within, pa.int64())]
             names = [id_col, "n_bytes", "n_tokens", "chars_within_budget"]
             if keep_profile:

@@ -22,7 +22,7 @@ from .language_id import fold
 from .shared import mix, small_batches, steps, text_view, word_hashes, write_shared
 
 #: Labelled rows to learn from at most (expected number), hash buckets, passes over the sample.
-MOST_TRAINING_ROWS, BITS, PASSES = 16_000, 18, 5
+MOST_TRAINING_ROWS, MOST_TRAINING_BYTES, BITS, PASSES = 16_000, 64 << 20, 18, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 15.0, 1.0
 #: Words are runs of ASCII letters, digits and of what isn't ASCII.
 _PARTING = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -63,10 +63,11 @@ class Ftrl:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with a weight, their weights, and the bias. The sample is a share of the rows by a hash of the text, of
-    ``MOST_TRAINING_ROWS`` rows as expected; its vectors (not texts) come to the driver in a fixed order."""
+    ``MOST_TRAINING_ROWS`` rows and ``MOST_TRAINING_BYTES`` of text at most as expected; its vectors (not texts) come to the
+    driver in a fixed order."""
     small_batches(labelled.sparkSession)
-    total = labelled.count()
-    share = min(1.0, MOST_TRAINING_ROWS / max(total, 1))
+    total, size = labelled.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()
+    share = min(1.0, MOST_TRAINING_ROWS / max(total, 1), MOST_TRAINING_BYTES / max(size, 1))
     draw = F.pmod(F.xxhash64(text_col, F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -64,7 +65,7 @@ def test_quality_edges(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
     y = (x[:, 0] > 0).astype(float)
-    taught = quality.CoTrained(x[:200], x[:200, :2], y[:200], x[200:], x[200:, :2])
+    taught = quality.CoTrained(x[:200], x[:200, :2], y[:200], quality.ask_arrays(x[200:], x[200:, :2]))
     assert ((taught.scores(x, x[:, :2])[0] > 0.5) == y).mean() > 0.93
 
 
@@ -110,4 +111,72 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"x item number {i} of the test set y") for i in range(20)], "doc_id long, text string")
     whole = {r.doc_id: r.matches for r in decontamination.benchmark_matches(df, bench).collect()}
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 100)
-    assert {r.doc_id: sorted(r.matches) for r in decontamination.benchmark_matches(df, bench).collect()} == {k: sorted(v) for k, v in whole.items()}
+    assert {r.doc_id: r.matches for r in decontamination.benchmark_matches(df, bench).collect()} == whole
+
+
+def test_decontamination_of_null_and_other_ids(spark):
+    items = [(None, "the quick brown fox jumps"), ("b", "the quick brown fox jumps"), ("a", "The quick  brown fox jumps!")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(None, "see the quick brown fox jumps."), (1, "nothing"), (1, "nothing"), (2, "x" * 300_000 + " the quick brown fox jumps")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, [(m.item_id, m.edits) for m in r.matches]) for r in decontamination.benchmark_matches(df, bench).collect()]
+    found = [(None, 0), ("a", 1), ("b", 0)]
+    assert sorted(got, key=str) == sorted([(None, found), (1, []), (1, []), (2, found)], key=str)
+    assert [r.doc_id for r in decontamination.drop_matches(df, bench).collect()] == [1, 1]
+
+
+def test_language_id_of_many_copies(spark, monkeypatch):
+    """Ten thousand copies of one labelled text teach once, and don't come to the driver."""
+    monkeypatch.setattr(language_id, "MOST_TRAINING_ROWS", 20)
+    rows = [("der die und das ein", "de")] * 10_000 + [(f"the and of {i}", "en") for i in range(100)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    df = spark.createDataFrame([(1, "the and of"), (2, "der und die")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()} == {1: "en", 2: "de"}
+    assert len(model.middle) <= 20
+
+
+def brute_ftrl(rows, buckets):
+    """FTRL-proximal in plain Python over sets of buckets; the bias has no L1."""
+    z, n = [0.0] * (buckets + 1), [0.0] * (buckets + 1)
+
+    def weight(i):
+        l1 = 0.0 if i == buckets else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for own, y in rows:
+            own = [*own, buckets]
+            w = [weight(i) for i in own]
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w))))) - y
+            for i, x in zip(own, w):
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * x
+                n[i] += g * g
+    return [weight(i) for i in range(buckets + 1)]
+
+
+def test_ftrl_is_the_plain_one(rng):
+    rows = [(sorted(rng.sample(range(30), rng.randint(1, 8))), rng.randint(0, 1)) for _ in range(60)]
+    model = toxicity.Ftrl(30)
+    for _ in range(toxicity.PASSES):
+        for own, y in rows:
+            model.learn(np.array([*own, 30]), y)
+    assert np.allclose(model.weights(slice(None)), brute_ftrl(rows, 30))
+
+
+def test_surest_rows_of_a_table(spark, rng, monkeypatch):
+    """The table's answer is that of a plain sort over all rows, whatever the partitions; copies teach once."""
+    monkeypatch.setattr(quality, "EACH_ROUND", 5)
+    x = np.random.default_rng(1)
+    content, metadata = x.normal(size=(60, quality.N_CONTENT)).astype(np.float32), x.integers(0, 2, (60, quality.N_METADATA)).astype(np.float32)
+    weights = [x.normal(size=quality.N_CONTENT + 1), x.normal(size=quality.N_METADATA + 1)]
+    rows = [(i, bytearray(c.tobytes()), bytearray(m.astype(np.uint8).tobytes())) for i, (c, m) in enumerate(zip(content, metadata))]
+    table = spark.createDataFrame(rows + rows[:20], "key long, content binary, metadata binary").repartition(4)
+    used = {3, 4, 5}
+    got = [sorted(keys.tolist()) for *_, keys in quality._ask_table(table)(weights, used)]
+    want = []
+    for view, label in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        p = 1 / (1 + np.exp(-np.clip(np.append((content, metadata)[view], np.ones((60, 1)), 1) @ weights[view], -35, 35)))
+        sure = p if label else 1 - p
+        order = sorted((i for i in range(60) if i not in used and sure[i] >= quality.SURE), key=lambda i: (-sure[i], i))
+        want.append(sorted(order[:5]))
+    assert got == want and [sorted(k.tolist()) for *_, k in quality.ask_arrays(content, metadata)(weights, used)] == want

@@ -254,13 +254,17 @@ def test_within_edits(spark, rng, monkeypatch):
             assert all(r.ok == (distance(r.a, r.b) <= e) for r in got)
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
+def edit_distance(a, b, most):
+    """Or a larger number where it is over ``most``; cells further from the diagonal than that aren't computed."""
+    row = {j: j for j in range(most + 1)}
     for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+        row, old = {}, row
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            ways = [old.get(j, 99) + 1, row.get(j - 1, 99) + 1] + ([old.get(j - 1, 99) + (x != b[j - 1])] if j else [])
+            row[j] = min(ways)
+        if min(row.values(), default=99) > most:
+            return 99
+    return row.get(len(b), 99)
 
 
 def brute_budget_lines(rows, per, most=99, least=line_dedup.LEAST_NEAR):
@@ -271,7 +275,7 @@ def brute_budget_lines(rows, per, most=99, least=line_dedup.LEAST_NEAR):
             first.setdefault(x.strip(" \t\r\x0b\x0c"), (i, k))
     known = sorted((x for x in first if len(x) >= least), key=first.get)
     for j, x in enumerate(known):
-        if any(abs(len(x) - len(y)) <= (e := min(most, max(1, min(len(x), len(y)) // per))) and edit_distance(x, y) <= e for y in known[:j]):
+        if any(abs(len(x) - len(y)) <= (e := min(most, max(1, min(len(x), len(y)) // per))) and edit_distance(x, y, e) <= e for y in known[:j]):
             near.add(x)
     for i, (_, t) in enumerate(rows):
         lines = [x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")]

@@ -3,10 +3,10 @@
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_duplicates import brute_jaccard, brute_lines
+from test_duplicates import brute_budget_lines, brute_jaccard
 
 import corpus_pipeline
-from chronoloom.llm import decontamination, piece_sampling, quality
+from chronoloom.llm import decontamination, line_dedup, piece_sampling, quality
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,7 +16,8 @@ def test_stages(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     scored = quality.op6_quality(spark, SMALL).collect()
     rows = {r.doc_id: rows[r.doc_id] for r in scored if r.kept}
-    gone = brute_lines(list(rows.items()))
+    texts = sorted(rows.items())
+    gone = {i: x for (i, _), x in zip(texts, brute_budget_lines(texts, line_dedup.CHARS_PER_EDIT, line_dedup.MAX_EDITS)) if x}
     left = {}
     for i, t in rows.items():
         lines = [x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(i, [])]

@@ -3,12 +3,13 @@ import math
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronoloom.llm import piece_sampling, token_counts
 
 BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
-BITS = ["a", "the", " ", "  ", "\n", "'re", "'ve", "'s", "'", "!", "23", "é", "中", "😀", "<|endoftext|>", "\t", "_", "²", "\x1c", "\xa0", "ing", " hello", "====", "́", "’", "▁"]
+BITS = ["a", "the", " ", "  ", "\n", "'re", "'ve", "'s", "'", "!", "23", "é", "中", "😀", "<|endoftext|>", "\t", "_", "²", "\x1c", "\x1d", "\x1f", "\x85", "\u2028", "\u3000", "\xa0", "ing", " hello", "====", "́", "’", "▁"]
 
 
 def test_every_prefix_has_the_librarys_count(rng):
@@ -16,11 +17,19 @@ def test_every_prefix_has_the_librarys_count(rng):
     for _ in range(300):
         text = "".join(rng.choice(BITS) for _ in range(rng.randint(0, 12)))
         profile = own.profile(text)
-        assert len(profile) == len(text)
+        assert len(profile) == 2 * len(text)
         for i in range(len(text) + 1):
             assert token_counts.tokens_at(profile, i) == len(library.encode(text[:i], add_special_tokens=False).ids), (text, i)
 
 
+def test_white_space_of_the_library(rng):
+    """U+001C to U+001F aren't white space for the tokenizer, wherever they stand."""
+    own, library = token_counts.counter(BYTES), Tokenizer.from_file(BYTES)
+    chars = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\n", "\t", " ", "\r", "\x0b", "\u2003", "\u200b", "a", "'s"]
+    for text in ["\n\n\x1d", *("".join(rng.choice(chars) for _ in range(rng.randint(1, 7))) for _ in range(3000))]:
+        assert token_counts.tokens_at(own.profile(text), len(text)) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_longest_prefix_within_a_budget(rng):
     own, library = token_counts.counter(BYTES), Tokenizer.from_file(BYTES)
     text = "".join(rng.choice(BITS) for _ in range(60))
@@ -69,12 +78,32 @@ def test_sampling_has_the_lattices_probabilities():
         assert abs(seen[way] / n - p / total) < 5 * math.sqrt(p / total / n) + 1e-4
 
 
+def test_a_long_word_is_one_lattice():
+    """Shares of the last pieces of a word of 2,000 characters against logarithms of sums over its whole lattice."""
+    lattice = piece_sampling.sampler(PIECES).lattice
+    weight = {lattice.piece_text[i]: math.log(lattice.weight[i]) for i in range(len(lattice.piece_text)) if lattice.weight[i] > 0}
+    word = "▁" + "there" * 400
+    assert piece_sampling.words_of(word) == [word]
+    total = [0.0]
+    add = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    for n in range(1, len(word) + 1):
+        total.append(add([total[n - k] + weight[word[n - k : n]] for k in range(1, min(n, lattice.longest) + 1) if word[n - k : n] in weight]))
+    keys, piece, before, last = lattice.forward([word])
+    rows = [i for i in range(len(keys)) if keys[i] >> 32 == last[0]]
+    shares = [int(keys[i] & ((1 << 32) - 1)) / 2**31 for i in rows]
+    for i, share in zip(rows, [b - a for a, b in zip([0, *shares], shares)]):
+        text = lattice.piece_text[piece[i]]
+        assert abs(share - math.exp(total[len(word) - len(text)] + weight[text] - total[-1])) < 1e-6
+
+
 def test_encode_and_decode_tables(spark):
     rows = [(1, "hello world"), (2, None), (3, ""), (4, "a\nb ▁"), (4, "a\nb ▁")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     coded = piece_sampling.encode(df.repartition(3), PIECES)
     back = piece_sampling.decode(coded, PIECES).collect()
     assert sorted((r.doc_id, r.text or "~") for r in back) == sorted((i, t or "~") if t != "" else (i, "~") for i, t in rows)
+    clash = piece_sampling.decode(coded.withColumn("text", F.lit(7)), PIECES)
+    assert clash.columns == ["doc_id", "pieces", "text"] and {r.text for r in clash.collect()} == {t for _, t in rows}
     one = {r.doc_id: r.pieces for r in piece_sampling.encode(df.coalesce(1), PIECES).collect()}
     assert all(one[r.doc_id] == r.pieces for r in coded.collect())
     assert all(r.decoded_equal for r in piece_sampling.digests(df, PIECES).collect())
