@@ -6,36 +6,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm import decontamination, jaccard_join, line_dedup, piece_sampling, quality
-from chronoloom.llm.shared import release, write_shared
+from chronoloom.llm.shared import WorkTables, write_shared
+
+#: Tables that only the stage before still reads: each stage removes them, since its input is written.
+WORK = WorkTables()
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    return quality.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with WORK:
+        return quality.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier, or nearly so, go; so does a document that has none left."""
-    release(spark)
-    return line_dedup.dedup_lines(docs)
+    WORK.release(spark)
+    with WORK:
+        return line_dedup.dedup_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five-word shingles, Jaccard 0.8 or more)."""
-    release(spark)
-    return jaccard_join.keep_one(docs, words=5, percent=80)
+    WORK.release(spark)
+    with WORK:
+        return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item, within its error budget, go."""
-    release(spark)
-    return decontamination.drop_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    WORK.release(spark)
+    with WORK:
+        return decontamination.drop_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the sampled piece ids."""
-    release(spark)
-    return piece_sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    WORK.release(spark)
+    with WORK:
+        return piece_sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
@@ -53,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is a table in the shared folder that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write_shared(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", keep=True)
+        docs = write_shared(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
