@@ -22,6 +22,12 @@ def pointer_path(pointer: str) -> str:
     return out
 
 
+def without_key(text: Column, key: Column) -> Column:
+    """JS-02: the object without that key of its top level; values stay as they are written."""
+    own = F.from_json(text, "map<string,variant>")
+    return F.to_json(F.map_filter(own, lambda k, _: k != key))
+
+
 def at_pointer(variant: Column, pointer: str, kind: str) -> Column:
     """JS-04: the value, or an error if it isn't there."""
     found = F.try_variant_get(variant, pointer_path(pointer), "variant")

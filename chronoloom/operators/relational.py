@@ -120,6 +120,20 @@ def disjoint_parts(df: DataFrame, **conditions: Column) -> DataFrame:
     return df.withColumn("part", part)
 
 
+def fresh_results(kept: DataFrame, sources: DataFrame, key: str, made: str, changed: str) -> DataFrame:
+    """MD-13: ``kept`` with ``fresh``: its result was made, and no source of its key has changed after that."""
+    last = sources.groupBy(key).agg(F.max(changed).alias("_changed"))
+    fresh = F.col(made).isNotNull() & (F.col("_changed").isNull() | (F.col(made) >= F.col("_changed")))
+    return kept.join(last, key, "left").withColumn("fresh", fresh).drop("_changed")
+
+
+def statement(spark, sql: str, values: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """SC-04, ST-06: runs a statement with values as parameters (:name) and tables as {name}."""
+    if not sql.strip():
+        raise ValueError("a blank statement")
+    return spark.sql(sql, args=values, **tables)
+
+
 def chunk_number(position: Column, total: Column, tasks: Column) -> Column:
     """AR-03: item -> chunk with chunks of ceil(total / min(tasks, total)) items (not ntile)."""
     return F.floor(position / F.ceil(total / F.least(tasks, total)))

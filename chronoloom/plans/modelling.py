@@ -24,31 +24,26 @@ WITH e AS ({_E}), p AS (SELECT a.user_id, a.event_id AS a, b.event_id AS b, abs(
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, a ORDER BY distance, gap, a, b) AS ra, row_number() OVER (PARTITION BY user_id, b ORDER BY distance, gap, a, b) AS rb FROM p)
 SELECT user_id, a, b, round(distance, 4) AS distance, gap FROM r WHERE ra = 1 AND rb = 1""")
 def jn10_linked_objects(spark, d):
-    """JN-10, MD-03, MD-14: one-to-one links of mutual best candidates."""
+    """JN-10, MD-03: one-to-one links of mutual best candidates."""
     return M.linked_objects(events(spark, d), "user_id", "t", "value", "event_id", 86400, 30.0).withColumn("distance", F.round("distance", 4))
 
 
-@query("jn11_assignment")
+@query("jn11_assignment", """
+WITH o AS (SELECT o_custkey, o_totalprice AS x, 1000.0 * (o_orderkey % 400) AS y, o_orderkey FROM orders),
+a AS (SELECT o_custkey, x, row_number() OVER (PARTITION BY o_custkey ORDER BY x) AS i FROM o), b AS (SELECT o_custkey, y, row_number() OVER (PARTITION BY o_custkey ORDER BY y) AS i FROM o)
+SELECT o_custkey, count(*) AS n, round(sum(abs(x - y)), 2) AS cost FROM a JOIN b USING (o_custkey, i) GROUP BY 1""")
 def jn11_assignment(spark, d):
-    """JN-11: least-cost assignment between the suppliers and customers of each nation (tested against brute force)."""
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), F.lit(0).alias("side"))
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), F.lit(1).alias("side"))
-    # customers are dealt to blocks so that an assignment is bounded: each block meets all suppliers of its nation
-    blocks = c.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1) / 64))
-    pool = blocks.select("k", "block").distinct().join(s, "k")
-    frames = blocks.unionByName(pool)
+    """JN-11: least-cost one-to-one assignment of each customer's orders to as many targets, a customer in one task. On a
+    line the sorted order costs least, which the SQL uses."""
+    o = table(spark, d, "orders").select("o_custkey", "o_totalprice", (1000.0 * (F.col("o_orderkey") % 400)).alias("target"))
 
     def run(frame):
         import pandas as pd
 
-        a, b = frame[frame.side == 0].sort_values("id"), frame[frame.side == 1].sort_values("id")
-        if a.empty or b.empty:
-            return pd.DataFrame({"k": [], "block": [], "a": [], "b": []}).astype({"k": "int32", "block": "int64", "a": "int64", "b": "int64"})
-        to = M.assignment(np.abs(a.x.to_numpy()[:, None] - b.x.to_numpy()[None]))
-        hit = to >= 0
-        return pd.DataFrame({"k": int(frame.k.iloc[0]), "block": int(frame.block.iloc[0]), "a": a.id.to_numpy()[hit], "b": b.id.to_numpy()[to[hit]]})
+        cost = np.abs(frame.o_totalprice.to_numpy()[:, None] - frame.target.to_numpy()[None])
+        return pd.DataFrame({"o_custkey": frame.o_custkey.iloc[:1], "n": len(frame), "cost": cost[np.arange(len(frame)), M.assignment(cost)].sum()})
 
-    return frames.groupBy("k", "block").applyInPandas(run, "k int, block long, a long, b long")
+    return o.groupBy("o_custkey").applyInPandas(run, "o_custkey long, n long, cost double").withColumn("cost", F.round("cost", 2))
 
 
 @query("md07_hmm_states")

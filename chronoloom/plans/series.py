@@ -90,13 +90,14 @@ def ag16_static_mask(spark, d):
 
 
 @query("ag17_state_counts", """
-WITH c AS (SELECT (epoch_us(ts) // 1000000) // 86400 AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
-SELECT day, click, view, round(click / (click + view), 6) AS click_share, round(view / (click + view), 6) AS view_share FROM c""")
+WITH c AS (SELECT (epoch_us(ts) // 1000000) // 86400 AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error,
+count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) AS n FROM events GROUP BY 1)
+SELECT day, click, view, error, signup, purchase, round(click / n, 6) AS click_share, round(view / n, 6) AS view_share, round(error / n, 6) AS error_share, round(signup / n, 6) AS signup_share, round(purchase / n, 6) AS purchase_share FROM c""")
 def ag17_state_counts(spark, d):
     """AG-17."""
-    rows = events(spark, d).where("event_type in ('click', 'view')").select(F.floor(F.col("t") / 86400).alias("day"), "event_type")
-    out = O.state_counts(rows, "day", "event_type", ["click", "view"])
-    return out.select("day", "click", "view", F.round("click_share", 6).alias("click_share"), F.round("view_share", 6).alias("view_share"))
+    states = ["click", "view", "error", "signup", "purchase"]
+    out = O.state_counts(events(spark, d).select(F.floor(F.col("t") / 86400).alias("day"), "event_type"), "day", "event_type", states)
+    return out.select("day", *states, *[F.round(f"{s}_share", 6).alias(f"{s}_share") for s in states])
 
 
 @query("md04_gap_filled", f"""

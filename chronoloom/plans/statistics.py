@@ -93,11 +93,11 @@ def ag06_cluster_rate(spark, d):
 
 @query("ag08_pivot", """
 WITH p AS (SELECT l_suppkey, l_linenumber AS op, printf('%.6f', avg(l_quantity)) || ' ± ' || printf('%.6f', sqrt(var_pop(l_quantity))) || ' (' || CAST(count(*) AS VARCHAR) || ')' AS c FROM lineitem GROUP BY 1, 2)
-SELECT l_suppkey, max(c) FILTER (op = 1) AS "1", max(c) FILTER (op = 2) AS "2", max(c) FILTER (op = 3) AS "3" FROM p GROUP BY 1""")
+SELECT l_suppkey, max(c) FILTER (op = 1) AS "1", max(c) FILTER (op = 2) AS "2", max(c) FILTER (op = 3) AS "3", max(c) FILTER (op = 4) AS "4", max(c) FILTER (op = 5) AS "5", max(c) FILTER (op = 6) AS "6", max(c) FILTER (op = 7) AS "7" FROM p GROUP BY 1""")
 def ag08_pivot(spark, d):
     """AG-08: hosts by operations."""
     shown = F.format_string("%.6f ± %.6f (%d)", F.avg("l_quantity"), F.sqrt(F.var_pop("l_quantity")), F.count("l_quantity"))
-    return R.pivot_stats(table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity"), "l_suppkey", "l_linenumber", [1, 2, 3], shown=shown)
+    return R.pivot_stats(table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity"), "l_suppkey", "l_linenumber", list(range(1, 8)), shown=shown)
 
 
 @query("ag09_nested_group", "SELECT n_regionkey, list_sort(list(n_name)) AS members FROM nation GROUP BY 1")
@@ -128,7 +128,7 @@ def ag22_cluster_stats(spark, d):
 @query("ag24_rollup", """
 SELECT coalesce(l_returnflag, '-') AS flag, coalesce(l_linestatus, '-') AS status, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def ag24_rollup(spark, d):
-    """AG-24: rollup and distinct counts (cube, grouping sets and approximate counts likewise)."""
+    """AG-24: rollup and distinct counts."""
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers")).select(F.coalesce("l_returnflag", F.lit("-")).alias("flag"), F.coalesce("l_linestatus", F.lit("-")).alias("status"), "n", "suppliers")
 
 
@@ -145,6 +145,21 @@ def ag24_approx_distinct(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
 
 
+@query("ag24_approx_error", "SELECT DISTINCT l_returnflag, true AS near FROM lineitem")
+def ag24_approx_error(spark, d):
+    """AG-24: the estimate with a relative deviation of 5 % is within three of them of the exact count."""
+    own = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.05).alias("a"), F.countDistinct("l_partkey").alias("n"))
+    return own.select("l_returnflag", (F.abs(F.col("a") - F.col("n")) <= 0.15 * F.col("n")).alias("near"))
+
+
+@query("ag24_grouping_sets", """
+SELECT coalesce(l_returnflag, '-') AS flag, coalesce(l_linestatus, '-') AS status, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())""")
+def ag24_grouping_sets(spark, d):
+    """AG-24."""
+    own = table(spark, d, "lineitem").groupingSets([["l_returnflag", "l_linestatus"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return own.select(F.coalesce("l_returnflag", F.lit("-")).alias("flag"), F.coalesce("l_linestatus", F.lit("-")).alias("status"), "n")
+
+
 def _series(x: str) -> str:
     """DuckDB SQL of the Chebyshev series, a projection for each term."""
     inner = f"SELECT event_id, {x} AS x, 2 / (2 + abs({x})) AS t, 0::DOUBLE AS d, 0::DOUBLE AS dd FROM events"
@@ -179,16 +194,23 @@ def ma05_lognormal_tails(spark, d):
 
 @query("ma06_normal_pdf", "SELECT event_id, round(exp(-0.5 * power((value - 50) / 30, 2)) / (30 * sqrt(2 * pi())), 8) AS pdf FROM events")
 def ma06_normal_pdf(spark, d):
-    """MA-06: the true density; its quantile is tested against the CDF."""
+    """MA-06: the true density."""
     return table(spark, d, "events").select("event_id", F.round(D.normal_pdf(F.col("value"), 50.0, 30.0), 8).alias("pdf"))
 
 
+@query("ma06_quantile", "SELECT DISTINCT p_size, round(p_size / 60.0, 9) AS again, p_size < 30 AS low FROM part")
+def ma06_quantile(spark, d):
+    """MA-06: the quantile of a probability has that probability below it, and is below 0 for less than a half."""
+    z = table(spark, d, "part").select("p_size").distinct().withColumn("z", D.normal_quantile(F.col("p_size") / 60.0))
+    return z.select("p_size", F.round(D.normal_cdf(F.col("z")), 9).alias("again"), (F.round("z", 9) < 0).alias("low"))
+
+
 @query("ma07_magnitudes", """
-SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber), 5) AS magnitude, CAST(floor(greatest(l_quantity, l_linenumber) * l_discount) AS INTEGER) AS greater_times, round(greatest(l_quantity, l_linenumber) * sqrt(l_discount * l_discount + l_tax * l_tax), 3) AS scaled FROM lineitem WHERE l_linenumber = 1""")
+SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber), 5) AS magnitude, CAST(floor(greatest(l_quantity, l_linenumber) * l_discount) AS INTEGER) AS greater_times, round(greatest(l_quantity, l_linenumber) * sqrt(l_discount * l_discount + l_tax * l_tax), 3) AS scaled FROM lineitem""")
 def ma07_magnitudes(spark, d):
     """MA-07, MA-08, MA-09, MA-10."""
     q, n = F.col("l_quantity"), F.col("l_linenumber").cast("double")
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.round(I.magnitude(q, n), 5).alias("magnitude"), I.greater_times(q, n, F.col("l_discount"), "int").alias("greater_times"), F.round(I.scaled_movement(q, n, F.col("l_discount"), F.col("l_tax")).cast("double"), 3).alias("scaled"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(I.magnitude(q, n), 5).alias("magnitude"), I.greater_times(q, n, F.col("l_discount"), "int").alias("greater_times"), F.round(I.scaled_movement(q, n, F.col("l_discount"), F.col("l_tax")).cast("double"), 3).alias("scaled"))
 
 
 @query("ma11_pixels", """

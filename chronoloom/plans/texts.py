@@ -41,10 +41,10 @@ def sc17_survival_table(spark, d):
     return S.survival_table(rows, controls="5-LOW").select("strain", F.round("age_days", 6).alias("age_days"), "censored")
 
 
-@query("sc24_metadata_round_trip", "SELECT page_id, substr(replace(url, ']]>', ''), 1, 60) AS description FROM pages")
+@query("sc24_metadata_round_trip", "SELECT page_id, replace(url, ']]>', '') AS description FROM pages")
 def sc24_metadata_round_trip(spark, d):
     """SC-24, SC-25: what was embedded is extracted again."""
-    p = table(spark, d, "pages").select("page_id", F.substring(F.replace("url", F.lit("]]>"), F.lit("")), 1, 60).alias("u"))
+    p = table(spark, d, "pages").select("page_id", F.replace("url", F.lit("]]>"), F.lit("")).alias("u"))
     return p.select("page_id", X.embedded_description(X.encoded_description(F.col("u"))).alias("description"))
 
 
@@ -147,6 +147,13 @@ def js01_values(spark, d):
     return v.select("event_id", J.value_or(F.col("v"), "/k", "long", None).alias("k"), J.value_or(F.col("v"), "/missing", "long", -1).alias("missing"), J.kind_of(F.col("v")).alias("kind"))
 
 
+@query("js02_filtered", """SELECT event_id, CASE WHEN event_type = 'view' THEN '{}' ELSE '{"k":' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) || '}' END AS kept FROM events""")
+def js02_filtered(spark, d):
+    """JS-02: keys are dropped while a text is parsed; here the key to drop is named by a column."""
+    dropped = F.when(F.col("event_type") == "view", "k").otherwise("Thumbnail")
+    return table(spark, d, "events").select("event_id", J.without_key(F.col("props"), dropped).alias("kept"))
+
+
 @query("js03_events", "SELECT event_id, k.key AS key, CAST(k.value AS VARCHAR) AS value FROM events, json_each(props) k")
 def js03_events(spark, d):
     """JS-03, JS-10: one row an entry."""
