@@ -1,7 +1,7 @@
 """Operator 4: exact dedup by content-defined chunk recipes. DataFrame functions only.
 
-A normalised text is cut where its content says so (after a full stop that follows a least number of characters, or at a
-greatest length), so an insertion changes the chunks near it and no others. Chunks are deduplicated once: each distinct
+A normalised text is cut where its content says so (behind the first of _ENDS that follows a least number of characters), so an
+insertion changes chunks up to where the cuts meet again; only a stretch without any of _ENDS is cut at a greatest length. Chunks are deduplicated once: each distinct
 chunk moves once a map task and gets a 64-bit identifier that is verified, since chunks of different text that share a
 hash are found and numbered. From then on only ordered lists of identifiers move, and two texts are equal when their
 lists are.
@@ -9,7 +9,8 @@ lists are.
 Groups are counted by (list, salt) and then by list, so a list that a third of the rows have doesn't meet in one task.
 
 Defined cases: a null text is empty; empty texts are equal to each other; a row that repeats an id and a text is
-reported again and counts in ``group_size``; other columns are not read.
+reported again and counts in ``group_size``; a null id is never the smallest, and a group that has no other id has a
+null keep_id, of which each row is kept; very long texts are lists of many identifiers; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +22,21 @@ from pyspark.sql import functions as F
 
 from .shared import write_shared
 
-#: Of a chunk: characters before which no full stop ends it, and characters after those at most.
+#: Of a chunk: characters before which nothing ends it, and characters after those at most.
 LEAST, MORE = 700, 3_000
 SALTS = 64
-_CHUNK = rf"(?s).{{1,{LEAST}}}[^.]{{0,{MORE}}}\.?"
+
+
+def _every(step: int, at: int) -> str:
+    """A class of the characters with a code of ``at`` modulo ``step``; beyond U+0370 it goes by blocks of 64 codes."""
+    single = "".join(rf"\u{c:04X}" for c in range(0x21, 0x370) if c % step == at)
+    return "[" + single + "".join(rf"\u{c * 64:04X}-\u{c * 64 + 63:04X}" for c in range(0xE, 0x400) if c % step == at and not 0xD800 <= c * 64 < 0xE000) + "]"
+
+
+#: What a chunk ends with: a full stop; where none comes, one of other scripts; where none of these comes, a pair of
+#: characters as one in 64 is in text without order.
+_ENDS = rf"[^.]{{0,{MORE}}}\.", rf"[^。．！？।؟]{{0,{MORE}}}[。．！？।؟]", rf".{{0,{MORE}}}?{_every(8, 1)}{_every(8, 5)}"
+_CHUNK = rf"(?s).{{1,{LEAST}}}(?:{'|'.join(_ENDS)}|.{{0,{MORE}}})"
 
 
 def normalised(text: Column) -> Column:
@@ -45,14 +57,14 @@ def recipes(df: DataFrame, id_col: str, text_col: str, identify: Callable[[Colum
         listed = F.transform(chunks("norm"), lambda c: F.struct(identify(c).alias("hash"), F.lit(1).alias("number")))
         return texts.select("id", listed.alias("recipe"), F.sha2("norm", 256).alias("text_sha256"))
     numbered = distinct.join(shared, "hash").withColumn("number", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")))
-    whole = texts.select("id", F.sha2("norm", 256).alias("text_sha256"), "norm").distinct()
-    placed = whole.select("id", "text_sha256", F.posexplode(chunks("norm")).alias("at", "chunk")).withColumn("hash", identify(F.col("chunk")))
-    placed = placed.join(numbered, ["hash", "chunk"], "left").select("id", "text_sha256", "at", "hash", F.coalesce("number", F.lit(1)).alias("number"))
-    listed = placed.groupBy("id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "number"))).alias("parts"))
-    listed = listed.select("id", "text_sha256", F.transform("parts", lambda p: F.struct(p["hash"].alias("hash"), p["number"].alias("number"))).alias("recipe"))
+    whole = texts.select(F.sha2("norm", 256).alias("text_sha256"), "norm").distinct()
+    placed = whole.select("text_sha256", F.posexplode(chunks("norm")).alias("at", "chunk")).withColumn("hash", identify(F.col("chunk")))
+    placed = placed.join(numbered, ["hash", "chunk"], "left").select("text_sha256", "at", "hash", F.coalesce("number", F.lit(1)).alias("number"))
+    listed = placed.groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "number"))).alias("parts"))
+    listed = listed.select("text_sha256", F.transform("parts", lambda p: F.struct(p["hash"].alias("hash"), p["number"].alias("number"))).alias("recipe"))
     rows = texts.select("id", F.sha2("norm", 256).alias("text_sha256"))
     empty = F.expr("cast(array() as array<struct<hash:bigint,number:int>>)")
-    return rows.join(listed, ["id", "text_sha256"], "left").select("id", F.coalesce("recipe", empty).alias("recipe"), "text_sha256")
+    return rows.join(listed, "text_sha256", "left").select("id", F.coalesce("recipe", empty).alias("recipe"), "text_sha256")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", identify: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

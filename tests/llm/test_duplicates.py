@@ -34,6 +34,24 @@ def test_exact_dedup(spark, identify):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("identify", [F.xxhash64, lambda c: F.pmod(F.xxhash64(c), F.lit(3))])
+def test_exact_dedup_of_null_ids(spark, identify):
+    rows = [(None, "a b. " * 400), (None, "a b. " * 400), (3, "a  b. " * 400), (None, "only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, identify=identify).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3, 3, False)] * 2 + [(3, 3, 3, True), (None, None, 1, True)], key=str)
+
+
+@pytest.mark.parametrize("chars", ["abc. ", "0123456789abcdef", "文字の中に的。", "abcdefghijklmnopqrstuvwxyz", "{}|;=a1"])
+def test_chunks_follow_the_content(spark, rng, chars):
+    """Characters put in front change the first chunks and not the later ones; nothing is lost."""
+    text = "".join(rng.choice(chars) for _ in range(60_000))
+    df = spark.createDataFrame([("", text), ("in front ", text)], "head string, text string")
+    a, b = (r.c for r in df.select(exact_dedup.chunks(F.concat("head", "text")).alias("c")).collect())
+    assert "".join(a) == text and "".join(b) == "in front " + text
+    assert len(set(a) & set(b)) > len(a) / 2
+
+
 def test_exact_dedup_oracle(spark):
     compare(spark, connect(SMALL), exact_dedup.op4_exact_dedup, exact_dedup.ORACLES["op4_exact_dedup"], SMALL)
 
