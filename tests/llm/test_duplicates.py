@@ -384,3 +384,15 @@ def test_keep_one_of_repeated_and_null_ids(spark):
     null = [t for i, t in got if i is None]
     assert len(null) == 1 and null[0].lower() == "p q r s"
     assert sorted(x for x in got if x[0] is not None) == [(1, a), (2, "x y z"), (3, ""), (3, ""), (5, b)]
+
+
+def test_queries_with_their_own_parameters(spark):
+    """op7, op8 and op9 over the smallest tables, against the plain versions with production parameters."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = jaccard_join.op7_jaccard_join(spark, SMALL).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_jaccard(rows, 3, 90)
+    got = suffix_dedup.op8_suffix_dedup(spark, SMALL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == brute_spans(rows, 200)
+    ordered = sorted(rows)
+    want = {i: gone for (i, _), gone in zip(ordered, brute_budget_lines(ordered, line_dedup.CHARS_PER_EDIT, line_dedup.MAX_EDITS))}
+    assert {r.doc_id: list(r.removed_lines) for r in line_dedup.op9_line_dedup(spark, SMALL).collect()} == want
