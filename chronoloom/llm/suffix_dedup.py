@@ -14,7 +14,8 @@ Every byte that a LENGTH-byte string covers which also starts anywhere else is r
    between neighbours that appears in round h says that their common prefix is h - 1 superletters. After LENGTH / STEP
    rounds the intervals without a border are the repeated windows.
 4. Anchors with more than MOST_CONTEXTS different contexts don't meet in one task: their windows are counted by a
-   128-bit hash, pre-aggregated, which gives the same; first what PART neighbouring windows have in common, then the
+   128-bit hash, pre-aggregated, which gives the same; first what PART neighbouring windows have in common, then all
+   their bytes (windows of equal parts are counted once), then the
    windows for which that occurs twice.
 
 Hashes of 128 bits stand for equal bytes in steps 2 and 4. What is broadcast are filters of 2^SENT_BITS and
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import FILTER_BITS, _filter_words
@@ -334,6 +335,18 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most_contexts: int)
 
         return run
 
+    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each wanted part: the hash of all bytes of its windows, and its first and last window."""
+        for batch in batches:
+            rows = []
+            for anchor, one, two, raw, n, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                sums = [running_sums(np.frombuffer(raw, np.uint8), x) for x in (0, 77)]
+                for q, first, last in parts_of(raw, anchor)[1]:
+                    if q in wanted:
+                        a, b = (int(rolling(x, np.array([first]), last - first + length).view(np.int64)[0]) for x in sums)
+                        rows.append((anchor, one, two, n, q, first, last, a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if 4 <= i <= 6 else pa.int64()) for i in range(9)], ["anchor", "c1", "c2", "n", "number", "lo", "hi", "w1", "w2"])
+
     names_of_parts = ["anchor", "c1", "c2", "n", "number", "w1", "w2"]
     kinds_of_parts = "anchor long, c1 long, c2 long, n long, number int, w1 long, w2 long"
     crowded = found.where(F.col("kinds") > most_contexts)
@@ -348,9 +361,21 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most_contexts: int)
     # a window can only occur twice if what it shares with the part's other windows does
     cores = twice_only(crowded.select(*columns, none).mapInArrow(hashed(True), kinds_of_parts), "cores")
     cores = write_shared(cores.groupBy("anchor", "c1", "c2").agg(F.sort_array(F.collect_set("number")).alias("wanted")), "open-parts")  # a context's own
-    windows = crowded.join(cores, ["anchor", "c1", "c2"]).select(*columns, "wanted").mapInArrow(hashed(False), kinds_of_parts)
-    windows = twice_only(windows, "windows").where("n = 1")
-    single = windows.groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct(F.col("number").alias("lo"), F.col("number").alias("hi"))).alias("runs"))  # a context's own
+    # all windows of a part that occurs twice as a whole do; those of one such part stand for all parts that are equal to it
+    parts = crowded.join(cores, ["anchor", "c1", "c2"]).select(*columns, "wanted").mapInArrow(extents, "anchor long, c1 long, c2 long, n long, number int, lo int, hi int, w1 long, w2 long")
+    parts = write_shared(parts, "part-extents")
+    own = F.struct("anchor", "c1", "c2", "number")
+    equal = parts.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min(own).alias("first")).where("total > 1")
+    parts = write_shared(parts.join(equal.select("w1", "w2", "first"), ["w1", "w2"], "left").drop("w1", "w2"), "parts")
+    whole_parts = parts.where("first is not null and n = 1").select("anchor", "c1", "c2", "lo", "hi")
+
+    def windows_of(kept: DataFrame, n: Column) -> DataFrame:
+        wanted = kept.groupBy("anchor", "c1", "c2").agg(F.sort_array(F.collect_set("number")).alias("wanted"))  # a context's own
+        return crowded.join(wanted, ["anchor", "c1", "c2"]).select("anchor", "c1", "c2", "bytes", n.alias("n"), "wanted").mapInArrow(hashed(False), kinds_of_parts)
+
+    windows = windows_of(parts.where("first is null"), F.col("n")).union(windows_of(parts.where(own == F.col("first")), F.lit(2).cast("long")))
+    windows = twice_only(windows, "windows").where("n = 1").select("anchor", "c1", "c2", F.col("number").alias("lo"), F.col("number").alias("hi"))
+    single = windows.union(whole_parts).groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # a context's own
     runs = write_shared(runs.unionByName(single), "runs")
 
     whole = distinct.where("n > 1").select("c1", "c2", F.lit(None).cast(_RUNS).alias("runs"))
