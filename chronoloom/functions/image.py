@@ -90,6 +90,11 @@ def noise_density(x: Column, alpha: float = 0.95, sigma: float = 0.05, beta: flo
     return alpha * part(sigma) + (1 - alpha) * part(beta)
 
 
+def included(x: Column, y: Column, width: int, height: int, border: int, mask: Column) -> Column:
+    """PF-20: pixels of the mask that aren't in the border."""
+    return mask & x.between(border, width - 1 - border) & y.between(border, height - 1 - border)
+
+
 def pyramid_levels(width: Column, least_width: int, ratio: float) -> Column:
     """MA-27: a ratio outside 0.4..0.98 counts as 0.75."""
     ratio = ratio if 0.4 <= ratio <= 0.98 else 0.75

@@ -41,7 +41,7 @@ def stationary_fragments(df: DataFrame, keys: list[str], order: list[str], time:
     at most ``max_missing`` of their expected frames are missing."""
     w = _over(keys, order)
     moved = (F.abs(F.col(position) - F.lag(position).over(w)) > max_distance) | (F.col(time) - F.lag(time).over(w) > max_gap)
-    runs = islands(df, keys, order, moved).groupBy(*keys, "island").agg(F.min(time).alias("begin"), F.max(time).alias("end"), F.count("*").alias("n"), F.min_by(position, time).alias("first_position"), F.max_by(position, time).alias("last_position"))
+    runs = islands(df, keys, order, moved).groupBy(*keys, "island").agg(F.min(time).alias("begin"), F.max(time).alias("end"), F.count("*").alias("n"), F.min_by(position, F.struct(*order)).alias("first_position"), F.max_by(position, F.struct(*order)).alias("last_position"))
     expected = F.floor((F.col("end") - F.col("begin")) / interval) + 1
     return runs.where((F.col("end") - F.col("begin") >= min_duration) & (1 - F.col("n") / expected <= max_missing))
 
@@ -82,6 +82,24 @@ def static_mask(heat: DataFrame, share: float) -> DataFrame:
     return heat.withColumn("static", tests[0] | tests[1] | tests[2])
 
 
+def static_mask_near(heat: DataFrame, keys: list[str], x: str, y: str, share: float, radius: int = 1) -> DataFrame:
+    """AG-16 over an image: a pixel that is bright for that share of one third, with a bright pixel within ``radius`` of it
+    in each other third. Every pixel adds its counts to its neighbours, so it is one aggregation without a join."""
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
+    own = {c: F.max(F.when((F.col("_o.i") == 0) & (F.col("_o.j") == 0), F.col(c))).alias(c) for c in ("red", "green", "blue", "n1", "n2", "n3")}
+    any_near = [F.max(c).alias(f"_{c}") for c in ("red", "green", "blue")]
+    spread = heat.withColumn("_o", F.explode(near)).withColumns({x: F.col(x) + F.col("_o.i"), y: F.col(y) + F.col("_o.j")})
+    seen = spread.groupBy(*keys, x, y).agg(*own.values(), *any_near).where("red is not null")  # places beyond the image go
+    tests = [(F.col(a) >= share * F.col(n)) & (F.col(f"_{b}") > 0) & (F.col(f"_{c}") > 0) for a, n, b, c in (("red", "n1", "green", "blue"), ("green", "n2", "red", "blue"), ("blue", "n3", "red", "green"))]
+    return seen.withColumn("static", tests[0] | tests[1] | tests[2]).drop("_red", "_green", "_blue")
+
+
+def median_filtered(df: DataFrame, keys: list[str], order: list[str], value: str, radius: int, to: str) -> DataFrame:
+    """MA-29: element n // 2 of the n sorted values from ``radius`` rows before to as many after."""
+    near = F.sort_array(F.collect_list(value).over(_over(keys, order).rowsBetween(-radius, radius)))
+    return df.withColumn(to, F.get(near, F.floor(F.size(near) / 2).cast("int")))
+
+
 def gap_filled(df: DataFrame, keys: list[str], time: str, interval: int, values: list[str]) -> DataFrame:
     """MD-04, AG-20: a row for each step of the grid from the first to the last time; values are carried forward and
     ``inferred`` marks the rows that weren't observed. Of rows in one step the latest counts."""

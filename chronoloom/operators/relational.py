@@ -93,6 +93,20 @@ def fetch_jobs(jobs: DataFrame, n: int, priority: Column, *ties: str) -> DataFra
     return jobs.orderBy(priority.desc(), *ties).limit(n)
 
 
+def updated_queue(log: DataFrame, key: str, priority: str, gone: Column, n: int, *order: str) -> DataFrame:
+    """SO-09: the n least priorities of a queue that is kept as a log of inserts, updates and removals: each key's last
+    row counts, and a top-k takes the least."""
+    last = log.groupBy(key).agg(F.max_by(F.struct(F.col(priority), gone.alias("_gone")), F.struct(*order)).alias("_v"))
+    return last.where("not _v._gone").select(key, F.col(f"_v.{priority}").alias(priority)).orderBy(priority, key).limit(n)
+
+
+def same_region(a: str, b: str, unit: str) -> Column:
+    """WN-10: equality of two temporal regions, structs of frame_start, frame_duration, real_start and real_duration, in
+    ``frames`` or in ``real_time``."""
+    part = {"frames": ("frame_start", "frame_duration"), "real_time": ("real_start", "real_duration")}[unit]
+    return F.col(f"{a}.{part[0]}").eqNullSafe(F.col(f"{b}.{part[0]}")) & F.col(f"{a}.{part[1]}").eqNullSafe(F.col(f"{b}.{part[1]}"))
+
+
 def next_page_size(n: Column) -> Column:
     """SO-03: 0 to 25; below 400 twice as many; then 0, all."""
     return F.when(n == 0, 25).when(n < 400, 2 * n).otherwise(0)

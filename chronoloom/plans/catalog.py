@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import modelling, relational, series, statistics, texts
+from . import modelling, movement, relational, series, statistics, texts
 
-MODULES = (relational, statistics, series, texts, modelling)
+MODULES = (relational, statistics, series, texts, modelling, movement)
 FLAGSHIP = "wn01_latest_per_key"
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import models as M
+from ..sources.readers import shared_folder
 from ..streaming import ingest as G
 from .registering import Plans, epoch, table
 from .series import events
@@ -46,12 +44,6 @@ def jn11_assignment(spark, d):
     return o.groupBy("o_custkey").applyInPandas(run, "o_custkey long, n long, cost double").withColumn("cost", F.round("cost", 2))
 
 
-@query("md07_hmm_states")
-def md07_hmm_states(spark, d):
-    """MD-07, MD-08, WN-11: best state path of each individual."""
-    return M.hmm_states(events(spark, d), "user_id", ["t", "event_id"], "value", [10.0, 60.0, 150.0], [20.0, 30.0, 50.0], [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]], loglikelihood=True)
-
-
 @query("md09_cross_validation")
 def md09_cross_validation(spark, d):
     """MD-09, MD-11: for each fold the best threshold of the others and its error on the held-out subjects."""
@@ -116,12 +108,7 @@ def md16_linear_svm(spark, d):
 
 def _ran(spark, stream, name: str):
     """Runs a stream over what is there into a table of files, in the folder that driver and executors share, and reads it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="chronoloom-")  # tests on one machine
-    at = f"{shared.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}-{name}"
     sink = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/checkpoint")
     sink.trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")

@@ -49,13 +49,6 @@ def wn05_fragments(spark, d):
     return O.stationary_fragments(events(spark, d), ["user_id"], ["t", "event_id"], "t", "value", 80, 400_000, 3600, 0.9, 20_000).select("user_id", "island", "begin", "end", "n")
 
 
-@query("wn06_stitched")
-def wn06_stitched(spark, d):
-    """WN-06, MD-03: fragments joined to paths (tested against a loop)."""
-    parts = O.stationary_fragments(events(spark, d), ["user_id"], ["t", "event_id"], "t", "value", 80, 400_000, 0, 1.0, 20_000)
-    return O.stitched(parts, ["user_id"], 900_000, 0, 120.0, 3600)
-
-
 @query("wn07_state_intervals", f"""
 WITH m AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM ({_E}) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
 i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,6 +95,27 @@ def write_survival(df: DataFrame, base: str, schema: str) -> str:
     return path
 
 
+def read_survival(spark: SparkSession, path: str, schema: str = "simple") -> DataFrame:
+    """SC-16: a survival table; the sink's columns, typed."""
+    more = ", device string, observed timestamp_ntz" if schema == "detailed" else ""
+    return spark.read.schema("age_days double, censored int, strain string" + more).option("header", True).csv(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir; on one machine without it, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="chronoloom-")
+    return f"{shared.rstrip('/')}/chronoloom/{uuid.uuid4().hex}"
+
+
+def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """DM-06, MD-02: writes the partitions that ``df`` has rows of over those of the table, and leaves the others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+
+
 def by_hand_table(spark: SparkSession, path: str) -> DataFrame:
     """SC-15: hand-annotated deaths, one row an individual."""
     return spark.read.option("header", True).csv(path)
