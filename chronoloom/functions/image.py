@@ -118,7 +118,9 @@ def flow_colour(u: Column, v: Column, channel: int, unknown: float = 1e9) -> Col
     colours = F.array(*[F.lit(c[channel] / 255) for c in wheel()])
     n = len(wheel())
     radius = F.hypot(u, v)
-    at = (F.atan2(-v, -u) / math.pi + 1) / 2 * (n - 1)
+    # -0.0 lies at -pi; the built-in function takes it for 0.0
+    angle = F.when((v == 0) & (u > 0), -math.pi).otherwise(F.atan2(-v, -u))
+    at = (angle / math.pi + 1) / 2 * (n - 1)
     low = F.floor(at).cast("int")
     share = at - low
     value = (1 - share) * F.get(colours, low) + share * F.get(colours, (low + 1) % n)

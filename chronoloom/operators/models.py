@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,6 +208,7 @@ def mixture(df: DataFrame, vector: str, start: list[list[float]], rounds: int =
     mean = np.array(start, float)
     k, width = mean.shape
     weight, var, floor, before, now, n = np.full(k, 1 / k), None, None, -np.inf, -np.inf, 0
+    kept = df.select(vector).persist(StorageLevel.MEMORY_AND_DISK)  # a lost executor's part is read again
     for _ in range(rounds + 1):
         sent = df.sparkSession.sparkContext.broadcast((weight, mean, var))
 
@@ -228,7 +230,7 @@ def mixture(df: DataFrame, vector: str, start: list[list[float]], rounds: int =
                     r0, r1, r2, rows = r0 + r.sum(0), r1 + r.T @ x, r2 + r.T @ (x * x), rows + len(x)
             yield pd.DataFrame({"k": range(k), "r0": r0, "score": score, "rows": rows, "r1": list(r1), "r2": list(r2)})
 
-        parts = df.select(vector).mapInPandas(sums, "k int, r0 double, score double, rows long, r1 array<double>, r2 array<double>")
+        parts = kept.mapInPandas(sums, "k int, r0 double, score double, rows long, r1 array<double>, r2 array<double>")
         wide = [F.sum(F.get(c, F.lit(i))).alias(f"{c}_{i}") for c in ("r1", "r2") for i in range(width)]
         got = parts.groupBy("k").agg(F.sum("r0").alias("r0"), F.sum("score").alias("score"), F.sum("rows").alias("rows"), *wide).orderBy("k").collect()
         r0 = np.array([r["r0"] for r in got]) + 1e-12
@@ -244,6 +246,7 @@ def mixture(df: DataFrame, vector: str, start: list[list[float]], rounds: int =
         if abs(now - before) < stop * abs(now):
             break
         before = now
+    kept.unpersist()
     return weight, mean, var, now, n
 
 
@@ -255,6 +258,7 @@ def bic(loglikelihood: float, n: int, components: int, dimensions: int) -> float
 def lloyd(df: DataFrame, vector: str, start: list[list[float]], rounds: int) -> np.ndarray:
     """MD-20: k-means from given centres. Each round is one scan whose partitions send sums only (k rows each)."""
     centre = np.array(start, float)
+    kept = df.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(rounds):
         sent = df.sparkSession.sparkContext.broadcast(centre)
 
@@ -269,7 +273,7 @@ def lloyd(df: DataFrame, vector: str, start: list[list[float]], rounds: int) ->
                     n += np.bincount(near, minlength=len(c))
             yield pd.DataFrame({"k": range(len(c)), "n": n, "total": list(total)})
 
-        parts = df.select(vector).mapInPandas(sums, "k int, n long, total array<double>")
+        parts = kept.mapInPandas(sums, "k int, n long, total array<double>")
         width = centre.shape[1]
         added = parts.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.get("total", F.lit(i))).alias(f"s{i}") for i in range(width)]).orderBy("k").collect()
         new = np.array([[r[f"s{i}"] for i in range(width)] for r in added]) / np.maximum(np.array([[r["n"]] for r in added]), 1)
@@ -278,10 +282,12 @@ def lloyd(df: DataFrame, vector: str, start: list[list[float]], rounds: int) ->
         if np.allclose(new, centre):
             break
         centre = new
+    kept.unpersist()
     return centre
 
 
 def nearest_centre(df: DataFrame, vector: str, centres: np.ndarray, to: str = "cluster") -> DataFrame:
     """MD-20: label of the nearest centre, by built-in array functions."""
     gaps = [F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in centres]
-    return df.withColumn(to, F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))).cast("int") - 1)
+    nearest = F.array_min(F.array(*[F.struct(g.alias("gap"), F.lit(i).alias("k")) for i, g in enumerate(gaps)]))
+    return df.withColumn(to, nearest["k"])

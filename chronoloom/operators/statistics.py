@@ -6,19 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PLACES = {"median": 0.5, "p75": 0.75, "p95": 0.95}
+#: AG-01: half the width of a percentile's bracket, as a share of a group's rows.
+BRACKET = 0.002
+
+
+def _with_group(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of its group; null keys are a group too."""
+    named = groups.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return df.join(named, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def robust_stats(df: DataFrame, keys: list[str], value: Column, compat: bool = True) -> DataFrame:
     """AG-01: max, min, average, sum, median, 75th and 95th percentile of |v| in single precision; a percentile is the
     element floor(n p) of the sorted values. compat: sentinels and zeros for a group whose values are all masked (null).
 
-    Ranks come from a window, so a large group spills and is never one array."""
-    v = df.select(*keys, F.abs(value).cast("float").alias("v"))
-    w = Window.partitionBy(*keys)
-    ranked = v.withColumn("i", F.row_number().over(w.orderBy(F.col("v").asc_nulls_last())) - 1).withColumn("n", F.count("v").over(w))
-    pick = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col("v")))
-    found = {"max": F.max("v"), "min": F.min("v"), "avg": F.avg("v"), "sum": F.sum("v"), "median": pick(0.5), "p75": pick(0.75), "p95": pick(0.95)}
+    No group is sorted or kept in one task. A sketch of fixed size brackets each percentile, a second scan counts what is
+    below the bracket and in it, and a third one counts the distinct values inside it, of which the one at the wanted place
+    is taken. A bracket that the counts show to miss its place is widened to the whole group, so the result is exact."""
+    v = df.select(*keys, F.abs(value).cast("float").alias("_v"))
+    sides = [min(max(p + d, 0.0), 1.0) for p in PLACES.values() for d in (-BRACKET, BRACKET)]
+    whole = v.groupBy(*keys).agg(F.count("_v").alias("n"), F.max("_v").alias("max"), F.min("_v").alias("min"), F.avg("_v").alias("avg"), F.sum("_v").alias("sum"), F.percentile_approx("_v", sides, round(4 / BRACKET)).alias("_b"))
+    side = lambda i: F.get("_b", F.lit(i))
+    inner = v.where("_v is not null")
+    counted = _with_group(inner, whole.select(*keys, "_b"), keys).groupBy(*keys).agg(*[F.count_if(F.col("_v") < side(2 * i)).alias(f"_u{i}") for i in range(3)], *[F.count_if(F.col("_v") <= side(2 * i + 1)).alias(f"_o{i}") for i in range(3)])
+    bounds = _with_group(whole, counted, keys)
+    for i, p in enumerate(PLACES.values()):
+        at = F.floor(F.col("n") * p)
+        holds = (F.col(f"_u{i}") <= at) & (at < F.col(f"_o{i}"))
+        bounds = bounds.withColumn(f"_r{i}", F.struct(F.lit(i).alias("k"), F.when(holds, side(2 * i)).otherwise(F.col("min")).alias("low"), F.when(holds, side(2 * i + 1)).otherwise(F.col("max")).alias("high"), (at - F.when(holds, F.col(f"_u{i}")).otherwise(0)).alias("at")))
+    near = _with_group(inner, bounds.select(*keys, F.array("_r0", "_r1", "_r2").alias("_r")), keys)
+    near = near.select(*keys, "_v", F.explode(F.filter("_r", lambda r: F.col("_v").between(r["low"], r["high"]))).alias("_r"))
+    values = near.groupBy(*keys, F.col("_r.k").alias("_k"), F.col("_r.at").alias("_at"), "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy("_v"))
+    found = values.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
+    picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == i, F.col("_v"))).alias(name) for i, name in enumerate(PLACES)])
+    out = _with_group(whole, picked, keys, "left")
     empty = {"max": -1.17549435e-38, "min": 3.4028234663852886e38} if compat else {}
-    shown = [(F.coalesce(c.cast("double"), F.lit(empty.get(n, 0.0))) if compat else c.cast("double")).alias(n) for n, c in found.items()]
-    return ranked.groupBy(*keys).agg(*shown)
+    shown = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(empty.get(n, 0.0))) if compat else F.col(n).cast("double")
+    return out.select(*keys, *[shown(n).alias(n) for n in ("max", "min", "avg", "sum", *PLACES)])
 
 
 def approximate_stats(df: DataFrame, keys: list[str], value: Column, accuracy: int = 10_000) -> DataFrame:

@@ -75,7 +75,17 @@ def md18_mixture(spark, d):
     return spark.createDataFrame(rows, "components int, loglikelihood double, bic double, weights array<double>")
 
 
-@query("md20_clusters")
+def _rounds_of_means(rounds: int) -> str:
+    """CTEs c0 to c(rounds), the centres after each round of k-means from the first three vectors, by component."""
+    gaps = "(SELECT p.vec_id, k, sum((p.v - c.v) ** 2) AS gap FROM p JOIN c{0} c USING (i) GROUP BY 1, 2)"
+    near = "SELECT vec_id, arg_min(k, {{'gap': gap, 'k': k}}) AS k FROM " + gaps + " GROUP BY 1"
+    parts = ["p AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)", "c0 AS (SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS k, i, v FROM p WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 3))"]
+    for n in range(rounds):
+        parts += [f"n{n} AS MATERIALIZED ({near.format(n)})", f"c{n + 1} AS MATERIALIZED (SELECT k, i, avg(v) AS v FROM n{n} JOIN p USING (vec_id) GROUP BY 1, 2)"]
+    return f"WITH {', '.join(parts)}, near AS ({near.format(rounds)})"
+
+
+@query("md20_clusters", _rounds_of_means(5) + " SELECT vec_id, k::INTEGER AS cluster FROM near")
 def md20_clusters(spark, d):
     """MD-20: k-means over all vectors, labelled with built-in functions."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

@@ -263,7 +263,16 @@ def ma23_arc_length(spark, d):
     return S.arc_length(e, ["user_id"], "event_id", "event_id", "value").select("user_id", "event_id", F.round("length", 3).alias("length"))
 
 
-@query("ma25_flow_colours")
+_WHEEL = ", ".join(str(list(colour)) for colour in I.wheel())
+
+
+@query("ma25_flow_colours", f"""
+WITH f AS (SELECT l_orderkey, l_linenumber, l_discount * 10 - 0.5 AS u, l_tax * 10 - 0.4 AS v, [{_WHEEL}] AS w FROM lineitem),
+g AS (SELECT *, sqrt(u * u + v * v) AS r, (atan2(-v, -u) / pi() + 1) / 2 * {len(I.wheel()) - 1} AS place FROM f),
+h AS (SELECT *, CAST(floor(place) AS INTEGER) AS low, place - floor(place) AS share FROM g),
+c AS (SELECT *, list_transform([1, 2, 3], lambda i: (1 - share) * (w[low + 1][i] / 255) + share * (w[(low + 1) % {len(I.wheel())} + 1][i] / 255)) AS x FROM h),
+d AS (SELECT *, list_transform(x, lambda z: CAST(floor(255 * CASE WHEN r <= 1 THEN 1 - r * (1 - z) ELSE z * 0.75 END) AS INTEGER)) AS o FROM c)
+SELECT l_orderkey, l_linenumber, o[1] AS red, o[2] AS green, o[3] AS blue, CAST(floor(ln(40 / 640.0::DOUBLE) / ln(0.75::DOUBLE)) AS INTEGER) AS levels FROM d""")
 def ma25_flow_colours(spark, d):
     """MA-25 and MA-27."""
     u, v = F.col("l_discount") * 10 - 0.5, F.col("l_tax") * 10 - 0.4

@@ -295,3 +295,20 @@ def test_linear_svm_returns_the_searched_parameter(spark):
     assert len(got) == len(label) and len({(r.reg_param, r.cv_accuracy, r.accuracy) for r in got}) == 1
     assert got[0].reg_param in (0.001, 0.01, 0.1, 1.0) and 0 < got[0].cv_accuracy <= 1
     assert got[0].accuracy == pytest.approx(sum(r.prediction == label[r.vec_id] for r in got) / len(got))
+
+
+@pytest.mark.parametrize("values", [[float(i) for i in range(5000)], [1.0] * 3000 + [2.0] * 3000, [None, None], [-3.0, None, float("nan"), 7.5], [float(i % 7) for i in range(4001)]])
+def test_ag01_against_sorting(spark, values):
+    """Groups with ties, nulls, NaN and a null key; the places are exact whatever the sketch says."""
+    rows = [(k, v) for k in ("a", None) for v in values]
+    out = S.robust_stats(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), compat=False).collect()
+    seen = sorted((abs(v) for v in values if v is not None), key=lambda v: (v != v, v))
+    want = [str(seen[int(len(seen) * p)]) if seen else "None" for p in (0.5, 0.75, 0.95)]
+    assert sorted(str(r.k) for r in out) == ["None", "a"]
+    assert all([str(r["median"]), str(r.p75), str(r.p95)] == want for r in out)
+
+
+def test_ag01_widens_a_bracket_that_misses(spark, monkeypatch):
+    monkeypatch.setattr(S.F, "percentile_approx", lambda *_: F.array(*[F.max(F.lit(9999.0)).cast("float")] * 6))
+    out = S.robust_stats(spark.createDataFrame([(1, float(i)) for i in range(100)], "k int, v double"), ["k"], F.col("v")).first()
+    assert (out["median"], out.p75, out.p95) == (50.0, 75.0, 95.0)
