@@ -323,6 +323,14 @@ def _filter_words(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFra
     return place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
 
 
+def _filter(keys: DataFrame, key: str) -> np.ndarray:
+    """The filter's words. They come as Arrow batches: as rows, a full filter's 2^17 take the driver far more memory."""
+    packed = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    rows = _filter_words(keys, key).toArrow()
+    packed[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return packed
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of ``edges`` (a, b): comp is the smallest node that can be reached. Large-star and
     small-star rounds, each a table in the shared folder."""
@@ -462,10 +470,8 @@ def near_duplicates(df: DataFrame, words: int, percent: int, id_col: str = "doc_
     lists = write_shared(_lists(_postings(docs, words, percent, taken, class_bits, levels), percent), "lists")
     kept = _kept_lists(lists, percent)
 
-    wanted = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for word, found in _filter_words(kept, "cid").collect():
-        wanted[word] = np.array([found], np.int64).view(np.uint64)[0]
-    sets = write_shared(_sets(docs, words, taken, class_bits, spark.sparkContext.broadcast([int(x) for x in wanted])), "sets")
+    wanted = spark.sparkContext.broadcast(_filter(kept, "cid").tolist())
+    sets = write_shared(_sets(docs, words, taken, class_bits, wanted), "sets")
     links = _links(kept, sets, percent, unit_shingles, leaders)
 
     comps = write_shared(components(links), "components")

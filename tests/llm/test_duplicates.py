@@ -124,6 +124,26 @@ def test_jaccard_join_of_a_large_near_group(spark, rng, sizes):
     assert sorted(map(str, (r.component_id for r in jaccard_join.near_duplicates(null, 3, 90).collect()))) == ["7", "7", "7", "None"]
 
 
+def test_jaccard_join_collects_no_rows_by_class(spark, monkeypatch):
+    """The driver gets the sketch's parts as rows, and the filter of the classes as Arrow batches."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(400)]
+    rows = [(2 * i + j, t + " end" * j) for i, t in enumerate(texts) for j in (0, 1)]
+    df, kind, most = spark.createDataFrame(rows, "doc_id long, text string"), type(spark.range(0)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: most.append(len(out := collect(self))) or out)
+    result = jaccard_join.near_duplicates(df, 3, 90)
+    monkeypatch.undo()
+    assert max(most) <= jaccard_join.SKETCH_PARTS
+    assert {(r.doc_id, r.component_id) for r in result.collect()} == {(i, i - i % 2) for i, _ in rows}
+
+
+def test_filter_of_classes(spark):
+    cids = [0, 1, -1, 63, 64, (1 << 23) - 1, 1 << 23, (5 << 23) + 127, -(1 << 63), 7, 7]
+    places = {c & ((1 << jaccard_join.FILTER_BITS) - 1) for c in cids}
+    packed = jaccard_join._filter(spark.createDataFrame([(c,) for c in cids], "cid long"), "cid")
+    assert {64 * int(w) + b for w in np.flatnonzero(packed) for b in range(64) if int(packed[w]) >> b & 1} == places
+
+
 def test_divide_skip(rng):
     universe = np.sort(np.array([rng.getrandbits(63) for _ in range(60)], np.uint64))
     for _ in range(60):
