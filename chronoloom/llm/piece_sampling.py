@@ -31,6 +31,8 @@ from .shared import mix, small_batches, steps
 
 SPACE = "▁"
 RANK_OFFSET, BYTE_WEIGHT = 10.0, 1e-6
+#: Characters of the texts that are drawn at once; a longer text is a step of its own. Bounds a worker's memory.
+STEP_CHARS = 1 << 20
 _WORDS = re.compile(f"{SPACE}?[^{SPACE}\n]+|\n|{SPACE}+(?={SPACE}[^{SPACE}\n])|{SPACE}+")
 
 
@@ -94,14 +96,14 @@ class Lattice:
                     who, what = live[ends], piece[ends]
                     before = own[who] - k
                     total[who] += (np.ldexp(weights[before], power[before] - scale[who]) if k < n else np.ldexp(1.0, -scale[who])) * self.weight[what]
-                    parts.append((own[who], total[who].copy(), what, before if k < n else np.full(len(who), -1)))
+                    parts.append((own[who].astype(np.int32), total[who], what.astype(np.int32), before.astype(np.int32) if k < n else np.full(len(who), -1, np.int32)))
             letter = code[own]
             place = np.minimum(np.searchsorted(self.single, letter), len(self.single) - 1)
             who = np.flatnonzero(self.single[place] != letter)
             if len(who):
                 before = own[who] - 1
                 total[who] += (weights[before] if n > 1 else 1.0) * BYTE_WEIGHT
-                parts.append((own[who], total[who].copy(), -1 - letter[who], before if n > 1 else np.full(len(who), -1)))
+                parts.append((own[who].astype(np.int32), total[who], (-1 - letter[who]).astype(np.int32), before.astype(np.int32) if n > 1 else np.full(len(who), -1, np.int32)))
             whole[own] = total
             weights[own], more = np.frexp(total)
             power[own] = scale + more
@@ -109,11 +111,12 @@ class Lattice:
             none = np.zeros(0, np.int64)
             return none, none, none, low
         state, partial, piece, before = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         order = np.argsort(state, kind="stable")
         state, piece, before = state[order], piece[order], before[order]
         share = np.floor(partial[order] / whole[state] * (1 << 31)).astype(np.int64)
         share[np.append(state[1:] != state[:-1], True)] = 1 << 31
-        return state << 32 | share, piece, before, low + size - 1
+        return state.astype(np.int64) << 32 | share, piece, before, low + size - 1
 
 
 def words_of(text: str) -> list[str]:
@@ -142,7 +145,7 @@ class Sampler:
         seed = mix(np.array([(k or 0) & (2**64 - 1) for k in row_keys], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
         place = np.arange(len(state)) - np.repeat(np.cumsum(count) - count, count)
         seed = mix(np.repeat(seed, count) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        live, order, drawn = np.arange(len(state)), [], []
+        live, order, drawn = np.arange(len(state), dtype=np.int32), [], []
         step = 0
         while len(live):
             step += 1
@@ -154,9 +157,8 @@ class Sampler:
             live = live[state[live] >= 0]
         if not order:
             return [None if t is None else np.zeros(0, np.int32) for t in texts]
-        word, ids = np.concatenate(order), np.concatenate(drawn)
-        turn = np.concatenate([np.full(len(x), -i) for i, x in enumerate(order)])
-        ids = ids[np.lexsort((turn, word))]
+        word, ids = np.concatenate(order[::-1]), np.concatenate(drawn[::-1])  # the last draw is a word's first piece
+        ids = ids[np.argsort(word, kind="stable")]
         sizes = np.bincount(word, minlength=len(found))
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]
         return [None if t is None else self._spelt(ids[a:b]) for t, a, b in zip(texts, bounds[:-1], bounds[1:])]
@@ -209,7 +211,7 @@ def _mapped(df: DataFrame, path: str, id_col: str, text_col: str, schema: str, c
         for batch in batches:
             texts, keys = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             sizes = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
-            for low, high in steps(sizes, 1 << 21):
+            for low, high in steps(sizes, STEP_CHARS):
                 found = own.encode(keys[low:high], texts[low:high])
                 arrays, names = columns(own, texts[low:high], found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *arrays], [id_col, *names])

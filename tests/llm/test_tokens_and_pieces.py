@@ -1,7 +1,9 @@
 import collections
 import math
+import tracemalloc
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -78,6 +80,36 @@ def test_sampling_has_the_lattices_probabilities():
         assert abs(seen[way] / n - p / total) < 5 * math.sqrt(p / total / n) + 1e-4
 
 
+def test_sampling_has_bounded_arrays(spark, rng):
+    """What a worker holds at once while it draws an Arrow batch of long texts, and that the draws don't depend on the steps."""
+
+    class Table:
+        sparkSession, dtypes = spark, [("doc_id", "bigint")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    letters = "etaoinshrdlu"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(2, 10))) for _ in range(100_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=450)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(texts)], ["doc_id", "key", "text"])
+    run = piece_sampling.encode(Table(), PIECES)
+    own = piece_sampling.sampler(PIECES)
+    tracemalloc.start()
+    try:
+        found = [out.column(1) for out in run([batch])]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 110 << 20
+    pieces = [x for column in found for x in column.to_pylist()]
+    for i in range(0, 1000, 250):
+        assert pieces[i] == own.encode([i], [texts[i]])[0].tolist()
+
+
 def test_a_long_word_is_one_lattice():
     """Shares of the last pieces of a word of 2,000 characters against logarithms of sums over its whole lattice."""
     lattice = piece_sampling.sampler(PIECES).lattice
