@@ -204,6 +204,18 @@ class _Near:
         return asked.join(lists, ["key", "block"]).where(found).select("h", "g")
 
 
+def _written_in_parts(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, planned without whole-stage code: for expressions that don't fit one method.
+    Spark runs these in parts anyway, after the driver has compiled the whole in vain, which takes it far more memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.codegen.wholeStage"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return write_shared(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str, per: int, max_edits: int, least: int) -> DataFrame:
     """h, g of the lines that have an earlier neighbour within the budget. ``first``: h, g, place, n (how often) of each line."""
     df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # what the JVM compiles; larger plans are run in smaller methods
@@ -224,7 +236,7 @@ def near_lines(df: DataFrame, first: DataFrame, id_col: str, text_col: str, per:
         return settled
     if max_edits <= 2:  # more edits have too many ways to leave out segments
         keys, n_own = line_keys(texts.join(many, ["h", "g"], "left_semi"), per, max_edits, least, 2)
-        shared = _shared_keys(write_shared(keys, "keys"), n_own)
+        shared = _shared_keys(_written_in_parts(keys, "keys"), n_own)
         settled = write_shared(settled.union(look.of_pairs(shared)).distinct(), "near-lines")
     return settled.union(look.of_blocks(shared, settled)).distinct()
 

@@ -382,6 +382,21 @@ def test_line_dedup_of_a_large_group(spark, rng):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - set(want)
 
 
+def test_line_dedup_compiles_no_plan_in_vain(spark, rng, monkeypatch):
+    """Crowded lines have so many keys that whole-stage code would not compile: with the fallback off that is an error."""
+    monkeypatch.setattr(line_dedup, "HOT_GROUP", 2)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(14)]
+    rows = [(i, " ".join([*words, f"tail{i:02d}"])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert got == {i: x for (i, _), x in zip(rows, brute_budget_lines(rows, line_dedup.CHARS_PER_EDIT, line_dedup.MAX_EDITS)) if x}
+    assert got and spark.conf.get("spark.sql.codegen.wholeStage") == "true"
+
+
 def test_line_dedup_of_repeated_rows_and_ids(spark):
     """Of repeated rows one stays whole; rows that share an id but not a text keep their own line numbers."""
     a, b, c = "first line\nsecond line\n\nthird line", "another text\nthird line\nof the same id", " \n"
