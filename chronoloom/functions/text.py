@@ -19,6 +19,18 @@ def prefix_long(s: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.ltrim(s), INTEGER, 0).try_cast("long"), F.lit(0))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """AG-08, ST-09: C's %.<digits>f of a double: its exact binary value is rounded, and a true tie goes to the even digit
+    (format_string rounds the shortest decimal form, ties away from zero)."""
+    shape = F.lit("0." + "0" * digits)
+    shown = lambda v: F.call_function("format_number", v, shape)
+    size = F.abs(x)
+    part = shown(size - F.floor(size))  # exact, where the whole number has more digits than format_number keeps
+    split = F.concat(F.when(x < 0, "-").otherwise(""), (F.floor(size) + part.substr(1, 1).cast("long")).cast("string"), F.substring(part, 2, digits + 1))
+    name = F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("inf"))
+    return F.when(F.isnan(x) | (size == float("inf")), name).when((size >= 1e9) & (size < 2.0**63), split).otherwise(shown(x))
+
+
 def file_name(path: Column) -> Column:
     """ST-02: what follows the last slash of either kind."""
     return F.regexp_extract(F.translate(path, "\\", "/"), "([^/]*)$", 1)

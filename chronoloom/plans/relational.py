@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import relational as R
 from .registering import Plans, epoch, table
 
@@ -217,7 +218,7 @@ SELECT p_size, CASE WHEN p_size IN (30, 31) THEN 'ms' ELSE 's' END AS unit, prin
 def pf10_unit_scaling(spark, d):
     """PF-10, ST-09: factor and unit by code, shown with two decimals."""
     fast = F.col("p_size").isin(30, 31)
-    return table(spark, d, "part").groupBy("p_size").agg(F.avg("p_retailprice").alias("m")).select("p_size", F.when(fast, "ms").otherwise("s").alias("unit"), F.format_string("%.2f", F.col("m") * F.when(fast, 1000).otherwise(1)).alias("shown"))
+    return table(spark, d, "part").groupBy("p_size").agg(F.avg("p_retailprice").alias("m")).select("p_size", F.when(fast, "ms").otherwise("s").alias("unit"), X.fixed(F.col("m") * F.when(fast, 1000).otherwise(1), 2).alias("shown"))
 
 
 @query("pf12_ratios", """

@@ -4,8 +4,10 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from chronoloom.functions import distributions as D
@@ -18,6 +20,7 @@ from chronoloom.operators import ordered as O
 from chronoloom.operators import relational as R
 from chronoloom.operators import statistics as S
 from chronoloom.operators import survival as V
+from chronoloom.plans import catalog
 from chronoloom.sources import readers as Q
 
 
@@ -312,3 +315,21 @@ def test_ag01_widens_a_bracket_that_misses(spark, monkeypatch):
     monkeypatch.setattr(S.F, "percentile_approx", lambda *_: F.array(*[F.max(F.lit(9999.0)).cast("float")] * 6))
     out = S.robust_stats(spark.createDataFrame([(1, float(i)) for i in range(100)], "k int, v double"), ["k"], F.col("v")).first()
     assert (out["median"], out.p75, out.p95) == (50.0, 75.0, 95.0)
+
+
+@pytest.mark.parametrize("digits", [2, 6])
+def test_fixed_is_the_printf_of_c(spark, digits):
+    rng = random.Random(digits)
+    v = [0.0, 1e-9, 25.0078125, -25.0078125, 0.125, 0.375, 1.005, 0.1234565, 25.0015625, 9.9999995, 1e15 / 3, 1e9 - 2**-24, 1e10 + 0.5, -(2.0**40) - 0.0078125, 2.0**53, float("nan"), float("inf"), -float("inf")]
+    v += [rng.randrange(64000) / rng.choice([128, 640, 10_000_000]) for _ in range(500)]
+    shown = spark.createDataFrame(list(enumerate(v)), "i int, x double").select("i", X.fixed(F.col("x"), digits).alias("s"))
+    assert {r.i: r.s for r in shown.collect()} == {i: f"{x:.{digits}f}" for i, x in enumerate(v)}
+
+
+def test_ag08_ties_and_nulls(spark, tmp_path):
+    """Averages of 128 rows can end in a five at the seventh place; a cell without quantities is null."""
+    rows = [(s, 1, float(i == 0) * s + 25.0) for s in range(1, 40) for i in range(128)] + [(50, 2, None), (None, 3, 1.0), (None, 3, None), (51, 9, 4.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert compare(spark, con, catalog.queries()["ag08_pivot"], catalog.oracles()["ag08_pivot"], str(tmp_path)) == 42
