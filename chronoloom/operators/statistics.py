@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 PLACES = {"median": 0.5, "p75": 0.75, "p95": 0.95}
-#: AG-01: half the width of a percentile's bracket, as a share of a group's rows.
-BRACKET = 0.002
+#: AG-01: parts of a power of two; a part has at most 2^15 values of single precision, and there are at most 71,000 parts.
+PARTS = 256
 
 
 def _with_group(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -18,29 +18,34 @@ def _with_group(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
     return df.join(named, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
 
 
+def _with_part(df: DataFrame) -> DataFrame:
+    """AG-01: ``_part``, a whole number that doesn't fall as _v (not negative) rises: its power of two and the place in it."""
+    x = F.col("_v").cast("double")
+    two = lambda e: F.pow(F.lit(2.0), e)
+    near = df.withColumn("_e", F.when((x > 0) & (x < float("inf")), F.floor(F.log2(x))))  # the logarithm may be off by one next to a power of two
+    near = near.withColumn("_e", F.when(two(F.col("_e")) > x, F.col("_e") - 1).when(two(F.col("_e") + 1) <= x, F.col("_e") + 1).otherwise(F.col("_e")))
+    part = F.col("_e") * PARTS + F.floor((x / two(F.col("_e")) - 1) * PARTS)
+    ends = F.when(F.isnan(x), 1 << 20).when(x == float("inf"), (1 << 20) - 1).when(x == 0, -(1 << 20))
+    return near.withColumn("_part", ends.otherwise(part)).drop("_e")
+
+
 def robust_stats(df: DataFrame, keys: list[str], value: Column, compat: bool = True) -> DataFrame:
     """AG-01: max, min, average, sum, median, 75th and 95th percentile of |v| in single precision; a percentile is the
     element floor(n p) of the sorted values. compat: sentinels and zeros for a group whose values are all masked (null).
 
-    No group is sorted or kept in one task. A sketch of fixed size brackets each percentile, a second scan counts what is
-    below the bracket and in it, and a third one counts the distinct values inside it, of which the one at the wanted place
-    is taken. A bracket that the counts show to miss its place is widened to the whole group, so the result is exact."""
+    No group is sorted or kept in one task, and no row is joined by its group alone: equal values are counted, values are
+    counted by parts of powers of two, the part that holds a place is found from those counts, and the value at the place
+    from the counts in that part. Both have a fixed bound, whatever the rows of a group."""
     v = df.select(*keys, F.abs(value).cast("float").alias("_v"))
-    sides = [min(max(p + d, 0.0), 1.0) for p in PLACES.values() for d in (-BRACKET, BRACKET)]
-    whole = v.groupBy(*keys).agg(F.count("_v").alias("n"), F.max("_v").alias("max"), F.min("_v").alias("min"), F.avg("_v").alias("avg"), F.sum("_v").alias("sum"), F.percentile_approx("_v", sides, round(4 / BRACKET)).alias("_b"))
-    side = lambda i: F.get("_b", F.lit(i))
-    inner = v.where("_v is not null")
-    counted = _with_group(inner, whole.select(*keys, "_b"), keys).groupBy(*keys).agg(*[F.count_if(F.col("_v") < side(2 * i)).alias(f"_u{i}") for i in range(3)], *[F.count_if(F.col("_v") <= side(2 * i + 1)).alias(f"_o{i}") for i in range(3)])
-    bounds = _with_group(whole, counted, keys)
-    for i, p in enumerate(PLACES.values()):
-        at = F.floor(F.col("n") * p)
-        holds = (F.col(f"_u{i}") <= at) & (at < F.col(f"_o{i}"))
-        bounds = bounds.withColumn(f"_r{i}", F.struct(F.lit(i).alias("k"), F.when(holds, side(2 * i)).otherwise(F.col("min")).alias("low"), F.when(holds, side(2 * i + 1)).otherwise(F.col("max")).alias("high"), (at - F.when(holds, F.col(f"_u{i}")).otherwise(0)).alias("at")))
-    near = _with_group(inner, bounds.select(*keys, F.array("_r0", "_r1", "_r2").alias("_r")), keys)
-    near = near.select(*keys, "_v", F.explode(F.filter("_r", lambda r: F.col("_v").between(r["low"], r["high"]))).alias("_r"))
-    values = near.groupBy(*keys, F.col("_r.k").alias("_k"), F.col("_r.at").alias("_at"), "_v").agg(F.count("*").alias("_c"))
+    whole = v.groupBy(*keys).agg(F.count("_v").alias("n"), F.max("_v").alias("max"), F.min("_v").alias("min"), F.avg("_v").alias("avg"), F.sum("_v").alias("sum"))
+    values = _with_part(v.where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
+    group = Window.partitionBy(*keys)
+    parts = values.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m")).withColumns({"_n": F.sum("_m").over(group), "_upto": F.sum("_m").over(group.orderBy("_part"))})
+    at = [F.struct(F.lit(i).alias("k"), (F.floor(F.col("_n") * p) - F.col("_upto") + F.col("_m")).alias("at")) for i, p in enumerate(PLACES.values())]
+    places = parts.select(*keys, "_part", F.explode(F.filter(F.array(*at), lambda r: (r["at"] >= 0) & (r["at"] < F.col("_m")))).alias("_r"))
+    near = _with_group(values, places, [*keys, "_part"]).select(*keys, F.col("_r.k").alias("_k"), F.col("_r.at").alias("_at"), "_v", "_c")
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy("_v"))
-    found = values.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
+    found = near.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
     picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == i, F.col("_v"))).alias(name) for i, name in enumerate(PLACES)])
     out = _with_group(whole, picked, keys, "left")
     empty = {"max": -1.17549435e-38, "min": 3.4028234663852886e38} if compat else {}

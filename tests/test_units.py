@@ -333,3 +333,26 @@ def test_ag08_ties_and_nulls(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     assert compare(spark, con, catalog.queries()["ag08_pivot"], catalog.oracles()["ag08_pivot"], str(tmp_path)) == 42
+
+
+def test_ag01_parts_keep_the_order_and_are_bounded(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.integers(0, 0x7F800001, 20000).astype(np.uint32).view(np.float32), np.float32(2.0) ** np.arange(-149, 128, dtype=np.float32), [0.0, 1e-45, np.inf]]).astype(np.float32)
+    v = np.unique(np.concatenate([v, np.nextafter(v[v > 0], np.float32(0)), np.float32(1) + np.arange(70000, dtype=np.float32) / np.float32(1 << 23)]))
+    got = S._with_part(spark.createDataFrame([(float(x),) for x in v] + [(float("nan"),)], "_v float")).orderBy("_v").toPandas()
+    part = got["_part"].to_numpy()
+    assert (np.diff(part) >= 0).all() and part[-1] > part[-2]
+    assert max(np.unique(part, return_counts=True)[1]) <= 1 << 15
+
+
+def test_ag01_no_rows_are_joined_by_their_group_alone(spark, monkeypatch):
+    plain, most = S._with_group, []
+
+    def counted(df, groups, keys, how="inner"):
+        most.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return plain(df, groups, keys, how)
+
+    monkeypatch.setattr(S, "_with_group", counted)
+    df = spark.range(50000).select(F.lit("a").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    out = S.robust_stats(df, ["k"], F.col("v")).first()
+    assert (out["median"], out.p75, out.p95) == (3.0, 5.0, 6.0) and max(most) <= 7
