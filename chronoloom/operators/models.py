@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,6 +170,75 @@ def assignment(cost: np.ndarray, maximise: bool = False) -> np.ndarray:
     return out
 
 
+def assignments(cost: Callable[[np.ndarray, np.ndarray], np.ndarray], many: int, n: int) -> np.ndarray:
+    """JN-11 for ``many`` problems of n rows and n columns at once, by the same method: column of each row of each problem.
+    ``cost(p, i)`` has the costs of row i[k] of problem p[k] as its row k, all finite; no matrix is kept."""
+    u, v = np.zeros((many, n)), np.zeros((many, n))
+    column, owner = np.full((many, n), -1), np.full((many, n), -1)
+    for row in range(n):
+        least, came, seen = np.full((many, n), np.inf), np.full((many, n), -1), np.zeros((many, n), bool)
+        last, total = np.empty(many, int), np.empty(many)
+        p, at, far = np.arange(many), np.full(many, row), np.zeros(many)
+        while len(p):
+            way = far[:, None] + cost(p, at) - u[p, at][:, None] - v[p]
+            taken, best = seen[p], least[p]
+            better = ~taken & (way < best)
+            best = np.where(better, way, best)
+            least[p], came[p] = best, np.where(better, at[:, None], came[p])
+            nxt = np.where(taken, np.inf, best).argmin(1)
+            far = best[np.arange(len(p)), nxt]
+            seen[p, nxt] = True
+            at = owner[p, nxt]
+            end = at < 0
+            last[p[end]], total[p[end]] = nxt[end], far[end]
+            p, at, far = p[~end], at[~end], far[~end]
+        gain = np.where(seen, total[:, None] - np.where(seen, least, 0.0), 0.0)
+        v -= gain
+        u[:, row] += total
+        k, j = np.nonzero(seen & (owner >= 0))
+        u[k, owner[k, j]] += gain[k, j]
+        p, to = np.arange(many), last
+        while len(p):
+            i = came[p, to]
+            owner[p, to] = i
+            before, column[p, i] = column[p, i], to
+            p, to = p[i != row], before[i != row]
+    return column
+
+
+#: JN-11: rows times columns' worth of numbers that one call of ``assignments`` keeps in each of its arrays.
+AT_ONCE = 1 << 18
+
+
+def assigned(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """JN-11: for each key its number of rows and the cost of the least-cost assignment of their x to their y, by
+    distance. Keys of the same number of rows are solved together; a key is in one task, its memory grows with its rows. A
+    pair with a missing value costs nothing."""
+    kind = dict(df.dtypes)[key]
+
+    def distance(x: np.ndarray, y: np.ndarray, infinite: float) -> np.ndarray:
+        return np.nan_to_num(np.abs(x - y), copy=False, nan=0.0, posinf=infinite)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_pairs")
+            begin, size = lists.offsets.to_numpy()[:-1], np.diff(lists.offsets.to_numpy())
+            a, b = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            out = np.zeros(len(size))
+            for n in np.unique(size):
+                alike = np.flatnonzero(size == n)
+                step = max(1, AT_ONCE // int(n))
+                for part in (alike[i : i + step] for i in range(0, len(alike), step)):
+                    at = begin[part][:, None] + np.arange(n)
+                    ax, by = a[at], b[at]
+                    to = assignments(lambda p, i: distance(ax[p, i][:, None], by[p], 1e300), len(part), int(n))  # noqa: B023
+                    out[part] = distance(ax, np.take_along_axis(by, to, 1), np.inf).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(out)], [key, "n", "cost"])
+
+    pairs = df.select(key, F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("_pair"))
+    return pairs.groupBy(key).agg(F.collect_list("_pair").alias("_pairs")).mapInArrow(run, f"`{key}` {kind}, n long, cost double")
+
+
 def linked_objects(df: DataFrame, region: str, t: str, x: str, object_id: str, max_gap: int, max_distance: float) -> DataFrame:
     """JN-10, MD-03, A6: candidates by a band join within time gap and distance; a pair is a link if each is the other's
     best (distance, then time, then ids), which is one-to-one without a driver loop."""

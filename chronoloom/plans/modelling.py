@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import models as M
@@ -33,15 +32,8 @@ SELECT o_custkey, count(*) AS n, round(sum(abs(x - y)), 2) AS cost FROM a JOIN b
 def jn11_assignment(spark, d):
     """JN-11: least-cost one-to-one assignment of each customer's orders to as many targets, a customer in one task. On a
     line the sorted order costs least, which the SQL uses."""
-    o = table(spark, d, "orders").select("o_custkey", "o_totalprice", (1000.0 * (F.col("o_orderkey") % 400)).alias("target"))
-
-    def run(frame):
-        import pandas as pd
-
-        cost = np.abs(frame.o_totalprice.to_numpy()[:, None] - frame.target.to_numpy()[None])
-        return pd.DataFrame({"o_custkey": frame.o_custkey.iloc[:1], "n": len(frame), "cost": cost[np.arange(len(frame)), M.assignment(cost)].sum()})
-
-    return o.groupBy("o_custkey").applyInPandas(run, "o_custkey long, n long, cost double").withColumn("cost", F.round("cost", 2))
+    o = table(spark, d, "orders").where("o_custkey is not null").select("o_custkey", "o_totalprice", (1000.0 * (F.col("o_orderkey") % 400)).alias("target"))
+    return M.assigned(o, "o_custkey", "o_totalprice", "target").withColumn("cost", F.round("cost", 2))
 
 
 @query("md09_cross_validation")

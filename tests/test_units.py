@@ -362,3 +362,30 @@ def test_ag24_sketches_are_not_kept_by_pair(spark):
     plan = catalog.queries()["ag24_approx_error"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
     assert sketches and not any("l_partkey" in line.split("functions=")[0] for line in sketches)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 9, 17])
+def test_jn11_many_at_once_equal_one_by_one(n):
+    rng = np.random.default_rng(n)
+    for c in (rng.integers(0, 9, (40, n, n)).astype(float), rng.normal(size=(40, n, n))):
+        to = M.assignments(lambda p, i: c[p, i], 40, n)
+        assert (np.sort(to, 1) == np.arange(n)).all()
+        got = np.take_along_axis(c, to[:, :, None], 2)[:, :, 0].sum(1)
+        assert np.allclose(got, [m[np.arange(n), M.assignment(m)].sum() for m in c])
+
+
+def test_jn11_keys_go_to_python_together(spark, monkeypatch):
+    """Few calls for many keys, with one key of many rows and a null one, in pieces too; the sorted order costs least."""
+    rng = random.Random(1)
+    rows = [(k, rng.random() * 100, rng.random() * 100) for k in range(300) for _ in range(k % 5 + 1)] + [(None, 1.0, 3.0)] + [(-1, rng.random(), rng.random()) for _ in range(150)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        x, y = (sorted(r[i] for r in rows if r[0] == k) for i in (1, 2))
+        want[k] = (len(x), pytest.approx(sum(abs(a - b) for a, b in zip(x, y))))
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    assert {r.k: (r.n, r.cost) for r in M.assigned(df, "k", "x", "y").collect()} == want
+    assert "FlatMapGroupsInPandas" not in catalog.queries()["jn11_assignment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    monkeypatch.setattr(M, "AT_ONCE", 8)
+    assert {r.k: (r.n, r.cost) for r in M.assigned(df, "k", "x", "y").collect()} == want
+    odd = spark.createDataFrame([(1, None, 3.0), (1, 5.0, 4.0), (1, float("inf"), None)], df.schema)
+    assert [tuple(r) for r in M.assigned(odd, "k", "x", "y").collect()] == [(1, 3, 1.0)]
