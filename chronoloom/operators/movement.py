@@ -4,9 +4,11 @@ of touching individuals."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,48 +91,98 @@ def chains(ends: list[tuple[int, int]]) -> list[int]:
     return sorted(nodes)
 
 
-def best_by_count(ends: list[tuple[int, int]], lengths: list[float], expected: float, most: int) -> dict[int, tuple[float, tuple[int, ...]]]:
-    """MD-14: for 1 to ``most`` individuals the division of all segments into that many chains with the least total
-    difference between a chain's length and the expected one; counts that can't be are left out."""
-    of_first: dict[int, list[tuple[int, float]]] = {}
-    for mask in chains(ends):
-        cost = abs(sum(x for i, x in enumerate(lengths) if mask >> i & 1) - expected)
+#: MD-14: the chains of the arrangements of segments that a worker has met.
+_chains = lru_cache(maxsize=1 << 12)(lambda ends: chains(list(ends)))
+
+
+def divided(ends: tuple[tuple[int, int], ...], lengths: np.ndarray, expected: float, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """MD-14 for clusters of one arrangement, a row of ``lengths`` each: for 1 to ``most`` individuals the least cost of
+    each cluster and its chains as bits, the least such chains if costs are equal; counts that can't be are left out."""
+    many, n = lengths.shape
+    bits = np.int64 if n < 63 else object
+    of_first: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for mask in _chains(ends):
+        cost = np.abs(lengths[:, [i for i in range(n) if mask >> i & 1]].sum(1) - expected)
         of_first.setdefault((mask & -mask).bit_length() - 1, []).append((mask, cost))
-    level, full, out = {0: (0.0, ())}, (1 << len(ends)) - 1, {}
+    level, full, out = {0: (np.zeros(many), np.empty((many, 0), bits))}, (1 << n) - 1, {}
     for k in range(1, most + 1):
-        after: dict[int, tuple[float, tuple[int, ...]]] = {}
+        after: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for done, (cost, parts) in level.items():
             if done == full:
                 continue
             lowest = (~done & -~done).bit_length() - 1
             for mask, more in of_first.get(lowest, ()):
                 if not mask & done:
-                    entry = (cost + more, (*parts, mask))
-                    if done | mask not in after or entry < after[done | mask]:
-                        after[done | mask] = entry
+                    total, chosen = cost + more, np.column_stack([parts, np.full(many, mask, bits)])
+                    if done | mask in after:
+                        known, before = after[done | mask]
+                        less, even = total < known, total == known
+                        for i in range(k):
+                            less |= even & (chosen[:, i] < before[:, i])
+                            even &= chosen[:, i] == before[:, i]
+                        total, chosen = np.where(less, total, known), np.where(less[:, None], chosen, before)
+                    after[done | mask] = total, chosen
         level = after
         if full in level:
             out[k] = level[full]
     return out
 
 
+def best_by_count(ends: list[tuple[int, int]], lengths: list[float], expected: float, most: int) -> dict[int, tuple[float, tuple[int, ...]]]:
+    """MD-14: for 1 to ``most`` individuals the division of all segments into that many chains with the least total
+    difference between a chain's length and the expected one; counts that can't be are left out."""
+    found = divided(tuple(ends), np.array([lengths], float), expected, most)
+    return {k: (float(cost[0]), tuple(int(x) for x in parts[0])) for k, (cost, parts) in found.items()}
+
+
+def _arrangements(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct arrangements of rows of segments, whose points are numbered by where they stand first, and each row's."""
+    points = np.stack([start, end], 2).reshape(len(start), -1)
+    first = (points[:, :, None] == points[:, None, :]).argmax(2)
+    if (first == first[:1]).all():
+        return first[:1], np.zeros(len(first), int)
+    return np.unique(first, axis=0, return_inverse=True)
+
+
+def _lists(names: pa.Array, begin: np.ndarray, parts: np.ndarray, n: int) -> pa.Array:
+    """Lists of the chains' lists of names; a cluster's n names begin at ``begin``."""
+    kinds, kind = np.unique(parts, axis=0, return_inverse=True) if parts.dtype != object else (parts, np.arange(len(parts)))
+    places = np.array([[i for mask in row for i in range(n) if int(mask) >> i & 1] for row in kinds])
+    sizes = np.array([[int(mask).bit_count() for mask in row] for row in kinds])
+    inner = np.concatenate([[0], np.cumsum(sizes[kind.ravel()])]).astype(np.int32)
+    chosen = names.take(pa.array((begin[:, None] + places[kind.ravel()]).ravel()))
+    return pa.ListArray.from_arrays(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1], pa.ListArray.from_arrays(inner, chosen))
+
+
 def disambiguated(df: DataFrame, cluster: str, segment: str, start: str, end: str, length: str, expected: float, most: int) -> DataFrame:
     """MD-14: a row for each cluster and number of individuals: the cost and the lists of segments of the best division.
-    A cluster is a handful of touching segments, kept together as one array."""
-    parts = F.sort_array(F.collect_list(F.struct(segment, start, end, F.col(length).cast("double").alias("length"))))
+    A cluster is a handful of touching segments, kept together as one array; those of the same arrangement are divided
+    together."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(segment).alias("segment"), F.col(start).alias("start"), F.col(end).alias("end"), F.col(length).cast("double").alias("length"))))
     kinds = dict(df.dtypes)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, members in zip(frame[cluster], frame["parts"]):
-                names, ends, lengths = [m[segment] for m in members], [(m[start], m[end]) for m in members], [m["length"] for m in members]
-                for k, (cost, masks) in best_by_count(ends, lengths, expected, most).items():
-                    rows.append((name, k, cost, [[x for i, x in enumerate(names) if mask >> i & 1] for mask in masks]))
-            yield pd.DataFrame(rows, columns=[cluster, "individuals", "cost", "members"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("parts")
+            offsets = lists.offsets.to_numpy()
+            names, *points, lengths = (lists.values.field(i) for i in range(4))
+            if lengths.null_count:
+                raise ValueError("a segment without a length")
+            codes = pd.factorize(pa.chunked_array(points).to_pandas(), use_na_sentinel=False)[0].reshape(2, -1)
+            lengths, size, out = lengths.to_numpy(), np.diff(offsets), []
+            for n in np.unique(size):
+                alike = np.flatnonzero(size == n)
+                at = offsets[alike][:, None] + np.arange(n)
+                shapes, shape = _arrangements(codes[0][at], codes[1][at])
+                for j, ends in enumerate(shapes.reshape(len(shapes), -1, 2).tolist()):
+                    those = shape.ravel() == j
+                    for k, (cost, masks) in divided(tuple(map(tuple, ends)), lengths[at[those]], expected, most).items():
+                        of = batch.column(0).take(pa.array(alike[those]))
+                        out.append(pa.RecordBatch.from_arrays([of, pa.array(np.full(len(of), k, np.int32)), pa.array(cost), _lists(names, at[those][:, 0], masks, int(n))], [cluster, "individuals", "cost", "members"]))
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
 
     schema = f"`{cluster}` {kinds[cluster]}, individuals int, cost double, members array<array<{kinds[segment]}>>"
-    return df.groupBy(cluster).agg(parts.alias("parts")).mapInPandas(run, schema)
+    return df.groupBy(cluster).agg(parts.alias("parts")).mapInArrow(run, schema)
 
 
 def spline_basis(u: Column, controls: int) -> list[Column]:

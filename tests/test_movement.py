@@ -57,6 +57,38 @@ def test_md14_table(spark):
     assert sorted((r.c, r.individuals, r.cost, r.members) for r in out.collect()) == [("a", 1, 0.0, [[1, 2]]), ("a", 2, 50.0, [[1], [2]])]
 
 
+def test_md14_many_clusters_at_once():
+    """Costs of clusters of one arrangement equal those one by one; of equal costs the least chains are taken."""
+    ends = ((0, 1), (1, 2), (2, 3), (3, 1), (3, 4))
+    lengths = np.random.default_rng(4).integers(1, 4, (200, 5)) * 10.0
+    found = A.divided(ends, lengths, 30.0, 4)
+    for r, row in enumerate(lengths.tolist()):
+        want = {}
+        for parts in divisions(list(range(5))):
+            if all(is_chain([ends[i] for i in part]) for part in parts):
+                masks = sorted((sum(1 << i for i in part) for part in parts), key=lambda m: m & -m)
+                entry = sum(abs(sum(row[i] for i in part) - 30) for part in parts), masks
+                want[len(parts)] = min(entry, want.get(len(parts), entry))
+        assert {k: (cost[r], masks[r].tolist()) for k, (cost, masks) in found.items()} == {k: v for k, v in want.items() if k <= 4}
+    long = tuple((i, i + 1) for i in range(70))
+    assert A.best_by_count(list(long), [1.0] * 70, 35.0, 2)[2] == (0.0, ((1 << 35) - 1, (1 << 70) - (1 << 35)))
+
+
+def test_md14_table_of_several_arrangements(spark):
+    rng = np.random.default_rng(8)
+    shapes = [["xy", "yz", "zw"], ["yx", "zy", "zw"], ["xy", "xz", "xw"], ["xx", "xy"], ["ab"]]
+    clusters = {c: [(i + 5, *p, float(q)) for i, (p, q) in enumerate(zip(shapes[c % 5], rng.integers(1, 60, 3)))] for c in range(60)}
+    rows = [(c if c else None, *row) for c, members in clusters.items() for row in members]
+    out = A.disambiguated(spark.createDataFrame(rows, "c long, s int, x string, y string, q double"), "c", "s", "x", "y", "q", 50.0, 3)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()  # a batch of clusters is divided at once
+    got = {(r.c or 0, r.individuals): (r.cost, r.members) for r in out.collect()}
+    want = {}
+    for c, members in clusters.items():
+        for k, (cost, masks) in A.best_by_count([m[1:3] for m in members], [m[3] for m in members], 50.0, 3).items():
+            want[c, k] = cost, [[m[0] for i, m in enumerate(members) if mask >> i & 1] for mask in masks]
+    assert got == want
+
+
 @pytest.mark.parametrize("level", range(4))
 def test_ma24_is_least_squares(spark, level):
     rng = np.random.default_rng(level)
